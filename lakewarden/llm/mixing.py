@@ -78,7 +78,7 @@ def training_position(fraction: Column, knots: Sequence[Column]) -> Column:
 
     def inverse(start: Column, end: Column, area: Column) -> Column:
         double = area * 2.0
-        return double * 2.0 / (start + F.sqrt(F.greatest(start * start + (end - start) * double * 2.0, F.lit(0.0))))
+        return F.coalesce(F.try_divide(double * 2.0, start + F.sqrt(F.greatest(start * start + (end - start) * double * 2.0, F.lit(0.0)))), F.lit(0.0))
 
     return F.when(need <= first, inverse(a, b, need) * 0.5).otherwise(F.least(inverse(b, c, need - first) * 0.5 + 0.5, F.lit(1.0)))
 

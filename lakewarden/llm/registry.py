@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import mixing
+from lakewarden.llm import mixing, quality
 
-MODULES = (mixing,)
+MODULES = (mixing, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
