@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import mixing, quality
+from lakewarden.llm import mixing, quality, simhash
 
-MODULES = (mixing, quality)
+MODULES = (mixing, quality, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
