@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import decontaminate, mixing, quality, simhash
+from lakewarden.llm import decontaminate, mixing, quality, simhash, tokens
 
-MODULES = (mixing, decontaminate, quality, simhash)
+MODULES = (mixing, decontaminate, quality, simhash, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
