@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import decontaminate, html_extract, mixing, quality, simhash, tokens
+from lakewarden.llm import decontaminate, html_extract, mixing, quality, secrets, simhash, tokens
 
-MODULES = (mixing, decontaminate, html_extract, quality, simhash, tokens)
+MODULES = (mixing, decontaminate, html_extract, quality, secrets, simhash, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
