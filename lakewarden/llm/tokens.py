@@ -11,11 +11,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,10 +29,12 @@ from lakewarden.sources.tables import table
 
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
-#: White space beside a space, or at either end: then a text is encoded whole.
-IRREGULAR = re.compile(r"\s |\s\s| \s|^\s|\s$")
+#: Words whose ids a worker remembers in either of two generations.
+REMEMBERED = 250_000
+#: Bytes of text encoded at a time (a longer text goes by itself).
+SLICE_BYTES = 6 << 20
+#: A run of Latin letters and a run of ASCII marks but the apostrophe, which can begin a contraction.
+WORD_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 _loaded: dict[str, PieceEncoder] = {}
 
 
@@ -38,9 +42,12 @@ class PieceEncoder:
     """Encodes texts with one tokenizer, remembering the ids of pieces between single spaces.
 
     A byte-level BPE first parts a text where a space follows a character that
-    is no white space; a piece from such a space (included) to the next is
-    therefore encoded alike wherever it stands. Texts with other runs of white
-    space, or with the text of an added token, are encoded whole.
+    is no white space; what lies between two such spaces is therefore encoded
+    alike wherever it stands. Texts in which a space has white space or an end
+    of the text beside it, and texts with an added token, are encoded whole.
+    Texts are split and their pieces numbered by Arrow, each different piece is
+    encoded once, and ids are gathered by number. Words are remembered over
+    calls, in two generations, so that memory is bounded and frequent ones stay.
     """
 
     def __init__(self, path: str):
@@ -50,7 +57,12 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte-level tokens have a character a byte
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
+        self.known: dict[str, bytes] = {}  # ids of a word after a space
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def get(cls, path: str) -> PieceEncoder:
@@ -60,28 +72,72 @@ class PieceEncoder:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        pieces: list[list[str] | None] = []
-        whole: list[str] = []
-        for text in texts:
-            if not text:
-                pieces.append([])
-            elif IRREGULAR.search(text) or any(a in text for a in self.added):
-                pieces.append(None)
-                whole.append(text)
-            else:
-                first, *rest = text.split(" ")
-                pieces.append([first, *[" " + p for p in rest]])
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of many runs of letters after a space, from one encoding; the bytes of the tokens tell where each ends."""
+        found: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in some), np.int64, len(some)))
+            cuts = (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1) * 4
+            raw = ids.tobytes()
+            found += [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        return found
+
+    def _pieces(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of each piece after a space; None where only its text can tell."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({p for some in pieces if some for p in some if p not in known})
-        known.update(zip(new, self._ids(new)))
-        rest = iter(self._ids(whole))
-        return [next(rest) if some is None else b"".join([known[p] for p in some]) for some in pieces]
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        # Letters, then ASCII marks: the pre-tokenizer parts them there.
+        parted = [(p, "") if p.isascii() and p.isalpha() else m.groups() if (m := WORD_MARKS(p)) else None for p in pieces]
+        words = {g[0] for g in parted if g}.difference(known)
+        for w in words & old.keys():
+            known[w] = old[w]
+        new = list(words.difference(known))
+        known.update(zip(new, self._words(new)))
+        marks = list({g[1] for g in parted if g} - {""})
+        tails = dict(zip(marks, self._ids(marks))) | {"": b""}
+        others = [p for p, g in zip(pieces, parted) if not g and p and not p[0].isspace() and not p[-1].isspace()]
+        found = dict(zip(others, self._ids([" " + p for p in others])))
+        return [(known[g[0]] + tails[g[1]] if g[1] else known[g[0]]) if g else found.get(p) for p, g in zip(pieces, parted)]
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers; a null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        starts, ends = split.offsets.to_numpy()[:-1], split.offsets.to_numpy()[1:]
+        coded = split.values.dictionary_encode()
+        number, first = coded.indices.to_numpy(), np.zeros(len(coded), bool)
+        first[starts] = True
+        ids = [i or b"" for i in self._pieces(coded.dictionary.to_pylist())]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        unknown = sizes == 0
+        at, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), np.uint32)
+        sizes = np.where(first, 0, sizes[number])
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        gathered = flat[np.repeat(at[number] - before[:-1], sizes) + np.arange(before[-1])]
+        heads = split.values.take(pa.array(starts)).to_pylist()
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(starts, np.flatnonzero(unknown[number] & ~first), "right") - 1] = True
+        whole |= np.array([n > 1 and (not h or h[-1].isspace()) for h, n in zip(heads, (ends - starts).tolist())], bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(whole).tolist():
+            heads[k] = texts[k].as_py()
+        opened = self._ids(heads)
+        empty = gathered[:0]
+        rest = [empty if w else gathered[a:b] for w, a, b in zip(whole.tolist(), before[starts].tolist(), before[ends].tolist())]
+        return [np.concatenate((np.frombuffer(h, np.uint32), r)) for h, r in zip(opened, rest)]
+
+
+def _slices(texts: pa.StringArray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes of text."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(texts)]
+    return zip(cuts, cuts[1:])
 
 
 def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -92,7 +148,7 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
     other columns are ignored. ``folder`` is any place pyarrow can write.
     """
     path = tokenizer or public_tokenizers.path(VOCABULARY)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number, attempt = PieceEncoder.get(path), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
@@ -100,14 +156,14 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
         target, partial = f"{base}/tokens-{number:06d}.ztok", f"{base}/.tokens-{number:06d}.{attempt}"
         out = writer = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+            for a, b in _slices(batch.column(1), SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     if writer is None:
                         files.create_dir(base, recursive=True)
                         out = files.open_output_stream(partial)
                         writer = TokenFileWriter(out, encoder.width)
-                    writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+                    writer.add(doc_id, np.concatenate((ids, end)))
         if writer is not None:
             writer.close()
             out.close()

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,8 +28,11 @@ def test_encoder_is_exact(spark):
     alphabet = list("ab'sdt.,!? \n\t0é日😀") + [" ", "'ll", " "]
     more = ["".join(dice.choice(alphabet) for _ in range(dice.randrange(40))) for _ in range(3000)]
     encoder = tokens.PieceEncoder.get(public_tokenizers.path("byte_bpe_50k.json"))
-    got = [np.frombuffer(b, "<u4").tolist() + [0] for b in encoder.encode(TEXTS + more)]
+    got = [ids.tolist() + [0] for ids in encoder.encode(pa.array(TEXTS + more, pa.string()).slice(0))]
     assert got == want(TEXTS + more)
+    part = pa.array(TEXTS + more, pa.string()).slice(5, 40)
+    assert [ids.tolist() + [0] for ids in encoder.encode(part)] == got[5:45]
+    assert encoder.encode(pa.array([], pa.string())) == []
 
 
 def test_round_trip(spark):
