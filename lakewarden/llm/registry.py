@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import decontaminate, html_extract, langid, mixing, ngram_lm, quality, secrets, simhash, tokens
+from lakewarden.llm import chat, decontaminate, html_extract, langid, mixing, ngram_lm, quality, secrets, simhash, tokens
 
-MODULES = (mixing, decontaminate, html_extract, langid, ngram_lm, quality, secrets, simhash, tokens)
+MODULES = (mixing, chat, decontaminate, html_extract, langid, ngram_lm, quality, secrets, simhash, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
