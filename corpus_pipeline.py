@@ -1,26 +1,61 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline over ``documents``.
+
+Stages take (spark, docs, sf_dir), work on all that the stage before kept, and
+return the columns of ``documents``, but for the last, which returns a row for
+each document of the written token files. Each result is written as Parquet and
+read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import mixing, scratch
+from lakewarden.llm import decontaminate, mixing, quality, scratch, simhash, tokens
 from lakewarden.sources.tables import table
 
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or stand on a failed host go."""
+    return quality.keep_good(docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: shingles of five words, similarity 0.8 or more."""
+    return simhash.drop_near_duplicates(docs, width=5, similarity=0.8)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"), length_col="n_chars")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their targets in training order; a document may come twice."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("mixing", mix_stage)]
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, written as seekable files and read back."""
+    return tokens.tokenize(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("tokens", token_stage),
+]
+
+#: Fingerprints and token ids are beyond SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; every stage but the last is staged in the shared folder."""
+    """All stages; every result but the last is staged in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for place, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if place < len(STAGES) - 1:
-            docs = scratch.stage(docs, f"pipeline-{name}")
+            docs = scratch.stage(docs, name.replace(" ", "-"))
     return docs

@@ -29,18 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from lakewarden.llm.blocks import ASCII_LOWER, text_bytes
+from lakewarden.llm.blocks import text_bytes
 from lakewarden.llm.scratch import discard, stage
+from lakewarden.llm.shingles import SEED, shingle_hashes
+from lakewarden.llm.similarity import similar_links
 from lakewarden.sources.tables import table
 
 BITS = 64
 RADIUS = 3
 SHINGLE = 3
-SEED = 42
 #: Shingles whose bits are counted at a time, so that long texts need no more memory.
 CHUNK = 1 << 14
 
@@ -51,24 +51,15 @@ def signed(x: int) -> int:
 
 def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of a text as a signed long; no words give 0."""
-    words = (text or b"").translate(ASCII_LOWER).split()
-    if not words:
+    raw = shingle_hashes(text, width, seed)
+    if not len(raw):
         return 0
-    if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        joined = memoryview(b" ".join(words))
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(sizes) - 1
-        starts = ends - sizes + 1
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
-    ones, n = np.zeros(BITS, np.int64), len(hashes)
-    raw = np.array(hashes, dtype="<u8")
-    for at in range(0, n, CHUNK):
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(raw), CHUNK):
         piece = raw[at : at + CHUNK]
         bits = np.unpackbits(piece.view(np.uint8).reshape(len(piece), 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32)
+    n = len(raw)
     packed = np.packbits(2 * ones > n, bitorder="little")
     return int(packed.view("<i8")[0])
 
@@ -156,17 +147,24 @@ def components(links: DataFrame) -> DataFrame:
         before = mark
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
     component_id is the smallest doc_id that links reach, the row's own
     included. Rows without text share fingerprint 0 and are linked like others;
     repeated rows stay; a null doc_id is never the smallest; an empty table
     gives an empty result; other columns are ignored.
+
+    With ``similarity``, fingerprints are also linked if the shingle sets of
+    their first documents are that much alike (see ``similarity``).
     """
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     links = star_links(stage(possible_neighbours(classes.select("fp")), "neighbours"))
+    if similarity is not None:
+        first = classes.filter("least_id is not null").select("fp", "least_id")
+        texts = docs.join(first, F.col(id_col) == F.col("least_id")).select(F.col("fp").alias("node"), F.col(text_col).cast("string").alias("text"))
+        links = links.union(similar_links(texts, width=width, similarity=similarity))
     roots = components(links).withColumnRenamed("node", "fp")
     grouped = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
