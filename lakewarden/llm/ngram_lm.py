@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,8 +36,8 @@ from lakewarden.sources.tables import table
 BACKOFF = 0.4
 #: Bigrams seen less often than this count as unseen.
 LEAST_COUNT = 2
-BLOCK_WORDS = 1_000_000
-PART_GRAMS = 2_000_000
+BLOCK_WORDS = 500_000
+PART_GRAMS = 1_000_000
 #: Bytes of text coded at a time.
 SLICE_BYTES = 4 << 20
 
@@ -124,6 +125,14 @@ class _Grams:
         self.order = [np.argsort(h, kind="stable") for h in self.hashes]
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.int64)
+
+
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Ascends with the hash."""
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -138,25 +147,25 @@ def count_tables(blocks: DataFrame, parts: int) -> DataFrame:
                 grams = _Grams(row)
                 for n in (0, 1):
                     order = grams.order[n]
-                    hashes, counts = grams.hashes[n][order], grams.counts[n][order].astype(np.uint32)
+                    hashes, counts = grams.hashes[n][order], grams.counts[n][order]
                     part = _part(hashes, parts)
                     cuts = np.flatnonzero(np.diff(part, prepend=-1))
                     ends = np.append(cuts[1:], len(part))
                     yield pa.record_batch(
                         [
                             pa.array(part[cuts] * 2 + n), pa.array([row["block"]] * len(cuts), pa.int64()),
-                            pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                            pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([_pack(counts[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
                         ],
                         names=["part", "block", "hashes", "counts"],
                     )
 
     def answer(asked: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(h, np.uint64) for h in asked.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in asked.column("counts").to_pylist()])
+        counts = np.concatenate([_unpack(c) for c in asked.column("counts").to_pylist()])
         _, where = np.unique(np.concatenate(hashes), return_inverse=True)
         totals = np.bincount(where, counts).astype(np.int64)[where]
         ends = np.cumsum([len(h) for h in hashes])
-        packed = [totals[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        packed = [_pack(totals[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         return pa.table([asked.column("block"), asked.column("part"), pa.array(packed, pa.binary())], names=["block", "part", "totals"])
 
     asked = blocks.select("block", "sizes", "words", "numbers").mapInArrow(ask, "part long, block long, hashes binary, counts binary")
@@ -184,7 +193,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
         got = sorted((r["part"], r["totals"]) for r in answered.to_pylist())
         totals = []
         for n in (0, 1):
-            flat = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(t, np.int64) for p, t in got if p % 2 == n)])
+            flat = np.concatenate([np.zeros(0, np.int64), *(_unpack(t) for p, t in got if p % 2 == n)])
             ordered = np.empty(len(flat), np.int64)
             ordered[grams.order[n]] = flat
             totals.append(ordered)
