@@ -52,3 +52,74 @@ def contrast_scores(df: DataFrame, vector: str, prototypes: DataFrame) -> DataFr
 def nearest_label(score: Column) -> Column:
     """Contrast rule: zero counts as malicious."""
     return F.when(score >= 0, F.lit("malicious")).otherwise(F.lit("benign"))
+
+
+def fold_prototypes(df: DataFrame, fold: str, label: str, vector: str, positive: Sequence, negative: Sequence, k: int) -> DataFrame:
+    """(fold, malicious, benign): for each fold the prototypes of all other folds, from one pass.
+
+    Sums of unit vectors by (fold, side) are added up over the other folds, so
+    vectors are read once, not once a fold.
+    """
+    side = F.when(F.col(label).isin(list(positive)), "malicious").when(F.col(label).isin(list(negative)), "benign")
+    parts = df.select(F.col(fold).alias("own"), side.alias("side"), F.posexplode(unit(as_double(F.col(vector)))).alias("pos", "x")).filter("side is not null")
+    sums = parts.groupBy("own", "side", "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    spread = sums.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).filter("fold != own")
+    means = spread.groupBy("fold", "side", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+    packed = means.groupBy("fold", "side").agg(unit(F.sort_array(F.collect_list(F.struct("pos", "x")))["x"]).alias("c"))
+    pick = lambda s: F.max(F.when(F.col("side") == s, F.col("c")))
+    return packed.groupBy("fold").agg(pick("malicious").alias("malicious"), pick("benign").alias("benign"))
+
+
+def max_chunk(scored: DataFrame, key: str, score: str, index: str, carry: Sequence[str] = ()) -> DataFrame:
+    """The best window of each owner (the first of equals), with how many it has: an ordinary aggregate of structs."""
+    best = F.max(F.struct(F.col(score).alias("s"), (-F.col(index)).alias("i"), *carry)).alias("b")
+    out = scored.groupBy(key).agg(best, F.count("*").alias("num_chunks"))
+    return out.select(key, F.col("b.s").alias("max_similarity"), (-F.col("b.i")).alias("trigger_chunk_index"), *[F.col(f"b.{c}") for c in carry], "num_chunks")
+
+
+def mean_pool(windows: DataFrame, key: str, vector: str) -> DataFrame:
+    """A document's vector: the unit mean of its windows' unit vectors."""
+    return centroids(windows, key, vector).select(key, F.col("centroid").alias("vector"), F.col("n").alias("num_chunks"))
+
+
+#: Reference rows up to which the reference side may travel as one broadcast row.
+BROADCAST_ROWS = 4096
+
+
+def top_k(queries: DataFrame, query_key: str, references: DataFrame, reference_key: str, vector: str, k: int, blocks: int | None = None) -> DataFrame:
+    """(query_key, rank, reference_key, similarity): the k references of highest inner product, smaller key first on ties. Exact.
+
+    A reference side of at most ``BROADCAST_ROWS`` rows (counted here: a job) is
+    packed into one row and every query scores it in place, without a shuffle.
+    A larger one is cut into blocks: each block keeps its own k best of every
+    query and the best of those win, so no task holds more than a block.
+    """
+    refs = references.select(F.col(reference_key).alias("rk"), unit(as_double(F.col(vector))).alias("rv"))
+    n = references.count()
+    blocks = blocks or max(1, -(-n // BROADCAST_ROWS))
+    packed = refs.withColumn("block", F.pmod(F.xxhash64("rk"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("rk", "rv")).alias("refs"))
+    asked = queries.select(F.col(query_key), unit(as_double(F.col(vector))).alias("qv"))
+    scored = F.transform("refs", lambda r: F.struct((-dot(F.col("qv"), r["rv"])).alias("neg"), r["rk"].alias("rk")))
+    if blocks == 1:
+        best = asked.crossJoin(F.broadcast(packed))
+    else:
+        best = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+    best = best.select(query_key, F.slice(F.sort_array(scored), 1, k).alias("best"))
+    if blocks > 1:
+        best = best.groupBy(query_key).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    rows = best.select(query_key, F.posexplode("best").alias("p", "b"))
+    return rows.select(query_key, (F.col("p") + 1).cast("long").alias("rank"), F.col("b.rk").alias(reference_key), (-F.col("b.neg")).alias("similarity"))
+
+
+def cluster_profile(members: DataFrame, cluster: str, category: str, text: str, similarity: str, key: str, n_clusters: int) -> DataFrame:
+    """One row a cluster 0..n-1: size, most frequent category (the smaller name on ties), text of the most similar member; blanks if empty."""
+    every = members.sparkSession.range(n_clusters).select(F.col("id").alias(cluster))
+    counted = members.groupBy(cluster, category).agg(F.count("*").alias("n"), F.max(F.struct(F.col(similarity).alias("s"), (-F.col(key)).alias("k"), F.col(text).alias("t"))).alias("best"))
+    top = counted.groupBy(cluster).agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), F.col(category).alias("c"))).alias("mode"), F.max("best").alias("best"))
+    filled = every.join(top, cluster, "left")
+    return filled.select(cluster, F.coalesce("size", F.lit(0)).alias("size"), F.coalesce(F.col("mode.c").cast("string"), F.lit("")).alias("category"), F.coalesce(F.col("best.t").cast("string"), F.lit("")).alias("rep_text"))
+
+
+def threshold_flags(score: Column, thresholds: Sequence[float]) -> Column:
+    """Map from threshold to whether the score reaches it."""
+    return F.map_from_arrays(F.array(*[F.lit(str(t)) for t in thresholds]), F.array(*[score >= t for t in thresholds]))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.plans import vector_plans
+from lakewarden.plans import text_plans, vector_plans
 
-MODULES = (vector_plans,)
+MODULES = (text_plans, vector_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
