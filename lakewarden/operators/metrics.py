@@ -60,17 +60,17 @@ def ranking(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
     group = Window.partitionBy(*by)
     falling = group.orderBy(F.col(score).desc())
     upto = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = points.withColumns({"tp": F.sum("p").over(upto), "cn": F.sum("n").over(upto), "P": F.sum("p").over(group), "N_all": F.sum("n").over(group)})
-    curve = curve.withColumns({"_prec": F.col("tp") / F.col("cn"), "_rec": F.when(F.col("P") > 0, F.col("tp") / F.col("P"))})
+    curve = points.withColumns({"tp": F.sum("p").over(upto), "cn": F.sum("n").over(upto), "all_pos": F.sum("p").over(group), "all_rows": F.sum("n").over(group)})
+    curve = curve.withColumns({"_prec": F.col("tp") / F.col("cn"), "_rec": F.when(F.col("all_pos") > 0, F.col("tp") / F.col("all_pos"))})
     before = {"_prec0": F.coalesce(F.lag("_prec").over(falling), F.lit(1.0)), "_rec0": F.coalesce(F.lag("_rec").over(falling), F.lit(0.0))}
     curve = curve.withColumns(before)
-    P, rest = F.col("P"), F.col("N_all") - F.col("P")
-    out = curve.groupBy(*by, "P", "N_all").agg(
+    pos, neg = F.col("all_pos"), F.col("all_rows") - F.col("all_pos")
+    out = curve.groupBy(*by, "all_pos", "all_rows").agg(
         F.sum(F.col("p") * F.col("tp") / F.col("cn")).alias("_ap"), F.sum((F.col("n") - F.col("p")) * (F.col("tp") - F.col("p") / 2)).alias("_auc"), F.sum((F.col("_rec") - F.col("_rec0")) * (F.col("_prec") + F.col("_prec0")) / 2).alias("_pr"),
     )
-    nan, both = F.lit(float("nan")), (P > 0) & (rest > 0)
+    nan, both = F.lit(float("nan")), (pos > 0) & (neg > 0)
     return out.select(
-        *by, F.when(both, F.try_divide("_ap", P)).otherwise(nan).alias("average_precision"), F.when(both, F.try_divide(F.col("_auc"), P * rest)).otherwise(nan).alias("roc_auc"), F.when(both, F.col("_pr")).otherwise(nan).alias("pr_auc"),
+        *by, F.when(both, F.try_divide(F.col("_ap"), pos)).otherwise(nan).alias("average_precision"), F.when(both, F.try_divide(F.col("_auc"), pos * neg)).otherwise(nan).alias("roc_auc"), F.when(both, F.col("_pr")).otherwise(nan).alias("pr_auc"),
     )
 
 

@@ -30,11 +30,19 @@ def encode(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], Se
     return df.withColumn("vector", run(F.col(text)))
 
 
-def hashed_vector(text: Column, dimensions: int = 64) -> Column:
-    """The native stand-in for an encoder: signed hash counts of tokens, normalised; no Python."""
-    slots = F.transform(chunks.tokens(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dimensions)))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: (F.size(F.filter(slots, lambda s: s == d)) - F.size(F.filter(slots, lambda s: s == d + dimensions))).cast("double"))
-    return unit(cells)
+def hashed_vectors(df: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
+    """The native stand-in for an encoder: (key, vector) of signed hash counts of whole texts' tokens, normalised.
+
+    Tokens are exploded and counted by (key, slot), so a text of any length is
+    summed by partial aggregates; a text without tokens has a zero vector.
+    """
+    slot = F.conv(F.substring(F.md5(F.lower("token")), 1, 8), 16, 10).cast("long") % (2 * dimensions)
+    words = df.select(key, F.explode_outer(chunks.tokens(F.col(text))).alias("token")).select(key, slot.alias("slot"))
+    signed = F.when(F.col("slot") < dimensions, 1).otherwise(-1)
+    counts = words.groupBy(key, (F.col("slot") % dimensions).alias("cell")).agg(F.sum(signed).cast("double").alias("x"))
+    packed = counts.groupBy(key).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("cell", "x")), lambda c: c["cell"].isNotNull())).alias("m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.element_at("m", d.cast("long")), F.lit(0.0)))
+    return packed.select(key, unit(cells).alias("vector"))
 
 
 def sigmoid(margin: Column) -> Column:
