@@ -68,3 +68,9 @@ def joined_labels(labels: Column) -> Column:
 
 def approximate_tokens(text: Column) -> Column:
     return F.floor(F.char_length(text) / 4).cast("long")
+
+
+def model_input(text: Column, prefix: str = "") -> Column:
+    """What a head's encoder reads: e-mails masked, then the instruction of an instruct variant in front."""
+    masked = mask_emails(text)
+    return F.concat(F.lit(prefix), masked) if prefix else masked

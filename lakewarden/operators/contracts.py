@@ -79,3 +79,15 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def probabilities_ok(df: DataFrame, p: str) -> Column:
     """Aggregate: non-empty, finite and within [0, 1] everywhere."""
     return (F.count("*") > 0) & (F.count_if(F.col(p).isNull() | F.isnan(p) | (F.col(p) < 0) | (F.col(p) > 1)) == 0)
+
+
+def filter_or_all(df: DataFrame, predicate: Column) -> DataFrame:
+    """The rows that meet the predicate, or all rows if none does: one plan, decided by a count of matches joined back as one row."""
+    counted = df.agg(F.count_if(predicate).alias("_matches"))
+    return df.crossJoin(F.broadcast(counted)).filter(predicate | (F.col("_matches") == 0)).drop("_matches")
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    if not df.limit(1).count():
+        raise ContractError(f"{what}: no rows")
+    return df

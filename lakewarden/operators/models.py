@@ -100,3 +100,20 @@ def check_contract(config: dict, published: dict, reported: Sequence[str] = ("ba
     if wrong:
         raise ValueError(f"configuration differs from the published one in {wrong}")
     return [k for k in reported if k in published and config.get(k) != published[k]]
+
+
+def sweep(configs: dict[str, dict], run: Callable[[str, dict], None]) -> list[str]:
+    """Run every configuration in order of name, stopping at the first that fails; returns those that ran."""
+    done = []
+    for name in sorted(configs):
+        run(name, configs[name])
+        done.append(name)
+    return done
+
+
+def timed(df: DataFrame, n_nodes: int, clock: Callable[[], float]) -> dict[str, float]:
+    """Nodes a second of computing all of ``df`` (no-op sink), 0 where no time passed."""
+    began = clock()
+    df.write.format("noop").mode("overwrite").save()
+    seconds = clock() - began
+    return {"n_nodes": n_nodes, "seconds": seconds, "nodes_per_second": n_nodes / seconds if seconds > 0 else 0.0}

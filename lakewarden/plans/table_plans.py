@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakewarden.functions import text as T
-from lakewarden.operators import contracts, judge, report, sampling
+from lakewarden.operators import contracts, judge, nodes, report, sampling
 from lakewarden.sources.tables import table
 
 
@@ -192,8 +192,41 @@ def value_counts_head(spark: SparkSession, folder: str) -> DataFrame:
     return report.value_counts(documents(spark, folder), "source", 10)
 
 
+def node_result_fields(spark: SparkSession, folder: str) -> DataFrame:
+    rows = asked(spark, folder).select("node_id", F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("submolt_name"), F.when(F.col("doc_id") % 4 == 0, "bad").when(F.col("doc_id") % 4 == 1, F.col("doc_id").cast("string")).alias("score"), nodes.preview(F.col("text")).alias("text_preview"))
+    return nodes.result_fields(rows)
+
+
+def binary_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(spark, folder).select("node_id", judge.binary_label(F.col("severity")).alias("label"))
+
+
+def split_filter_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    parted = split_stratified(spark, folder)
+    some = contracts.filter_or_all(parted, F.col("severity") == "5").withColumn("part", F.lit("severity 5"))
+    none = contracts.filter_or_all(parted, F.col("severity") == "9").withColumn("part", F.lit("fallback"))
+    return some.unionByName(none)
+
+
+def verdict_tallies(spark: SparkSession, folder: str) -> DataFrame:
+    return _results(spark, folder).groupBy("verdict").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("severity").try_cast("bigint")), F.lit(0)).alias("severity_sum"))
+
+
+def ordered_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    seen = table(spark, folder, "events").groupBy("user_id").agg(F.min("event_id").alias("first_event"))
+    return seen.select("user_id", "first_event")
+
+
+def model_input(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(spark, folder).select("node_id", T.sha256(T.model_input(F.col("text"), "Instruct: ")).alias("sha256"))
+
+
+def approximate_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(spark, folder).groupBy("source").agg(F.sum(T.approximate_tokens(F.col("text"))).alias("tokens"))
+
+
 QUERIES = {f.__name__: f for f in (
-    sample_simple, sample_stratified, split_stratified, folds_stratified, fold_coverage_check, set_fingerprint, one_to_one_join, one_to_one_report, semi_join, duplicate_texts, set_difference, hash_verification,
+    node_result_fields, binary_labels, split_filter_fallback, verdict_tallies, ordered_distinct, model_input, approximate_tokens, sample_simple, sample_stratified, split_stratified, folds_stratified, fold_coverage_check, set_fingerprint, one_to_one_join, one_to_one_report, semi_join, duplicate_texts, set_difference, hash_verification,
     text_equality_check, anti_join_pending, prompt_render, request_json, review_block, verdict_parse, response_parse, reconcile_union, update_join_merge, retry_select, reparse_overlay, severity_normalize, crosstab_fold_severity, value_counts_head,
 )}
 
@@ -204,6 +237,13 @@ _RENDER = """'node_type: post' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'titl
 _TRIM = r"regexp_replace(text, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')"
 
 ORACLES = {
+    "node_result_fields": "SELECT 'post:' || doc_id AS node_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS submolt_name, CASE WHEN doc_id % 4 = 1 THEN doc_id ELSE 0 END AS score, left(coalesce(text, ''), 200) AS text_preview FROM documents",
+    "binary_labels": "SELECT 'post:' || doc_id AS node_id, (toxic = 1)::BIGINT AS label FROM labels",
+    "split_filter_fallback": JUDGED_SQL + ", w AS (SELECT node_id, severity, CASE WHEN p <= round_even(c * 0.3::DOUBLE, 0) THEN 'test' ELSE 'train' END AS split FROM x) SELECT *, 'severity 5' AS part FROM w WHERE severity = '5' UNION ALL SELECT *, 'fallback' FROM w",
+    "verdict_tallies": JUDGED_SQL + RESULTS_SQL + "SELECT verdict, count(*) AS n, coalesce(sum(try_cast(severity AS BIGINT)), 0)::BIGINT AS severity_sum FROM r GROUP BY verdict",
+    "ordered_distinct": "SELECT user_id, min(event_id) AS first_event FROM events GROUP BY user_id",
+    "model_input": r"SELECT 'post:' || doc_id AS node_id, sha256('Instruct: ' || regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '@', 'g')) AS sha256 FROM documents",
+    "approximate_tokens": "SELECT source, sum(length(text) // 4)::BIGINT AS tokens FROM documents GROUP BY source",
     "sample_simple": r"SELECT 'post:' || doc_id AS node_id, source FROM documents WHERE regexp_matches(coalesce(text, ''), '\S') ORDER BY sha256('42:post:' || doc_id), 'post:' || doc_id LIMIT 100",
     "sample_stratified": JUDGED_SQL + "SELECT node_id, severity FROM x WHERE p <= 12",
     "split_stratified": JUDGED_SQL + "SELECT node_id, severity, CASE WHEN p <= round_even(c * 0.3::DOUBLE, 0) THEN 'test' ELSE 'train' END AS split FROM x",
