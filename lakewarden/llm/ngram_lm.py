@@ -37,7 +37,7 @@ BACKOFF = 0.4
 #: Bigrams seen less often than this count as unseen.
 LEAST_COUNT = 2
 BLOCK_WORDS = 500_000
-PART_GRAMS = 1_000_000
+PART_GRAMS = 500_000
 #: Bytes of text coded at a time.
 SLICE_BYTES = 4 << 20
 
@@ -80,7 +80,7 @@ class _Block:
 
     def row(self, number: int) -> pa.RecordBatch:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.numbers), np.uint64, len(self.numbers))
-        values = [[number], [self.ids], [self.sizes], [hashes.tobytes()], [np.concatenate([np.zeros(0, np.uint32), *self.coded]).tobytes()], [self.n]]
+        values = [[number], [self.ids], [self.sizes], [hashes.tobytes()], [zstandard.compress(np.concatenate([np.zeros(0, np.uint32), *self.coded]).tobytes(), 1)], [self.n]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         return pa.record_batch([pa.array(v, k) for v, k in zip(values, kinds)], names=["block", "doc_ids", "sizes", "words", "numbers", "n"])
 
@@ -110,7 +110,7 @@ class _Grams:
 
     def __init__(self, row: dict):
         self.sizes = np.array(row["sizes"], np.int64)
-        words, numbers = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["numbers"], np.uint32).astype(np.int64)
+        words, numbers = np.frombuffer(row["words"], np.uint64), np.frombuffer(zstandard.decompress(row["numbers"]), np.uint32).astype(np.int64)
         ends = np.cumsum(self.sizes)
         self.opens = np.zeros(len(numbers) + 1, bool)
         self.opens[ends - self.sizes] = True
@@ -143,7 +143,8 @@ def count_tables(blocks: DataFrame, parts: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # a block at a time
+                row = batch.slice(k, 1).to_pylist()[0]
                 grams = _Grams(row)
                 for n in (0, 1):
                     order = grams.order[n]
