@@ -109,7 +109,7 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple
 
 
 def parse_messages(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """(conv_id, turn, role, content, events) of every message."""
+    """(conv_id, turn, role, content, events, mark) of every message; mark tells different messages of one turn apart."""
     schemas = SCHEMAS if schemas is None else schemas
     kind = pa.list_(pa.struct([("kind", pa.string()), ("place", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("body", pa.string()), ("after", pa.list_(pa.string())), ("valid", pa.bool_())]))
 
@@ -119,11 +119,12 @@ def parse_messages(turns: DataFrame, schemas: dict[str, dict] | None = None) ->
             yield pa.record_batch([*batch.columns[:3], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], kind)], names=["conv_id", "turn", "role", "content", "events"])
 
     named = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return named.mapInArrow(run, f"conv_id long, turn long, role string, content string, events array<{EVENT}>")
+    parsed = named.mapInArrow(run, f"conv_id long, turn long, role string, content string, events array<{EVENT}>")
+    return parsed.withColumn("mark", F.xxhash64("role", "content", "events"))
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """Calls and results with level and status, one row each.
+    """Calls and results with level and status, one row each; a message that repeats as a whole counts once.
 
     Of calls with the same id in a conversation the first (turn, place) counts,
     the others are ``duplicate``; results likewise. A call with a result is
@@ -132,8 +133,9 @@ def link(messages: DataFrame) -> DataFrame:
     calls it comes after, and a result follows its call; calls in or behind a
     ring of dependence have level null and status ``cyclic``.
     """
-    events = messages.select("conv_id", "turn", F.explode("events").alias("e")).select("conv_id", "turn", "e.*")
-    first = Window.partitionBy("conv_id", "kind", "id").orderBy("turn", "place", "body")
+    spoken = messages.filter(F.size("events") > 0).dropDuplicates(["conv_id", "turn", "mark"])
+    events = spoken.select("conv_id", "turn", "mark", F.explode("events").alias("e")).select("conv_id", "turn", "mark", "e.*")
+    first = Window.partitionBy("conv_id", "kind", "id").orderBy("turn", "place", "body", "mark")
     events = stage(events.withColumn("copy", F.row_number().over(first)), "chat-events")
     calls, results = events.filter("kind = 'call' and copy = 1"), events.filter("kind = 'result' and copy = 1")
     key = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) & (F.col(f"{a}.id") == F.col(f"{b}.id"))
@@ -167,15 +169,16 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Da
     in topological order: place is the turn, or, where it holds results of
     later calls, the last of those turns. Null or empty texts give an empty
     content, a null conversation or turn stays null and links only within
-    itself, repeated messages stay, other columns are ignored.
+    itself, repeated messages stay, each as if it stood alone, other columns are
+    ignored.
     """
     own = turns.select("conv_id", "turn", "role", "text")
     messages = stage(parse_messages(own, schemas), "chat")
     linked = link(messages)
     entry = F.struct("kind", "place", "id", "name", "body", "valid", "status", "level", "call_turn")
     # Events of one message only are gathered: as many as its text holds.
-    held = linked.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(entry)).alias("held"))
-    with_events = messages.filter(F.size("events") > 0).alias("m").join(held.alias("h"), F.col("m.conv_id").eqNullSafe(F.col("h.conv_id")) & F.col("m.turn").eqNullSafe(F.col("h.turn")), "left").select("m.conv_id", "m.turn", "m.role", "m.content", "h.held")
+    held = linked.groupBy("conv_id", "turn", "mark").agg(F.sort_array(F.collect_list(entry)).alias("held"))
+    with_events = messages.filter(F.size("events") > 0).alias("m").join(held.alias("h"), F.col("m.conv_id").eqNullSafe(F.col("h.conv_id")) & F.col("m.turn").eqNullSafe(F.col("h.turn")) & (F.col("m.mark") == F.col("h.mark")), "left").select("m.conv_id", "m.turn", "m.role", "m.content", "h.held")
     plain = messages.filter(F.size("events") == 0).select("conv_id", "turn", "role", "content", F.lit(None).cast(with_events.schema["held"].dataType).alias("held"))
     rows = with_events.unionByName(plain)
     count = lambda test: F.coalesce(F.size(F.filter("held", test)), F.lit(0)).cast("long")

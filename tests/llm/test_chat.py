@@ -45,7 +45,7 @@ def test_links_and_levels(spark):
         (1, 0, "user", "hi"), (1, 1, "assistant", "see " + call("a") + " and " + call("b", after=["a", "zz"]) + call("c", after=["b", "a"])), (1, 2, "tool", json.dumps({"id": "a", "content": {"k": 1.0}})),
         (1, 3, "tool", result("b") + result("a", "again")), (1, 4, "assistant", call("x", after=["y"]) + call("y", after=["x"]) + call("w", after=["y"])), (1, 5, "tool", result("nobody")),
         (2, 0, "tool", result("late")), (2, 1, "assistant", call("late", args='{"query": ""}') + call("late")), (3, 0, "user", None), (3, 1, None, ""), (3, 2, "assistant", "<tool_call>no json</tool_call>"),
-        (None, None, "assistant", call("a")), (3, 0, "user", None),
+        (None, None, "assistant", call("a")), (3, 0, "user", None), (4, 0, "assistant", call("r")), (4, 0, "assistant", call("r")), (4, 0, "assistant", "other " + call("s")), (4, 1, "tool", result("r")),
     ]
     turns = spark.createDataFrame(rows, SCHEMA).withColumn("events", F.lit("own"))
     out = {}
@@ -63,6 +63,7 @@ def test_links_and_levels(spark):
     assert [c["status"] for c in out[2, 1][0][1]["tool_calls"]] == ["linked", "duplicate"]
     assert out[3, 2][0][1]["content"] == "<tool_call>no json</tool_call>" and out[3, 1][0][1] == {"role": None, "content": ""}
     assert out[None, None][0][0].n_calls == 1
+    assert sorted((m["content"], [(c["id"], c["status"]) for c in m["tool_calls"]]) for _, m in out[4, 0]) == [("", [("r", "linked")])] * 2 + [("other", [("s", "unanswered")])]
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
