@@ -11,7 +11,7 @@
     python -m lakewarden.cli eval-contrast --vectors V --folds F --out O
     python -m lakewarden.cli eval-head --vectors V --folds F --out O
     python -m lakewarden.cli build-index --vectors V --mode contrast|cluster|example --out O
-    python -m lakewarden.cli scan --vectors V --index I --mode contrast|cluster|example --out O
+    python -m lakewarden.cli scan --windows W --index I --nodes N --mode contrast|cluster|example --out O
     python -m lakewarden.cli windows --nodes N --out O
     python -m lakewarden.cli report --scan S --nodes N --out O
 
@@ -27,7 +27,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakewarden.operators import chunks, judge, language, metrics, models, nodes, report, sampling, vectors as V
+from lakewarden.operators import chunks, judge, language, metrics, models, nodes, report, sampling, scan, vectors as V
 from lakewarden.sources import readers, sinks
 
 MALICIOUS, BENIGN = ("3", "4", "5"), ("0",)
@@ -146,29 +146,22 @@ def build_index(spark: SparkSession, a: argparse.Namespace) -> None:
         save(rows.select("threat_id", "vector"), a)
 
 
-@command("scan", "vectors", "index")
-def scan(spark: SparkSession, a: argparse.Namespace) -> None:
-    """vectors: node_id, chunk_index, vector; one row a node comes out, by its best window."""
-    rows, index = spark.read.parquet(a.vectors), spark.read.parquet(a.index)
+@command("scan", "windows", "index", "nodes")
+def scan_nodes(spark: SparkSession, a: argparse.Namespace) -> None:
+    """windows: node_id, chunk_index, start_token, end_token, text, vector; one row a node comes out, by its best window."""
+    windows, index, known = (spark.read.parquet(p) for p in (a.windows, a.index, a.nodes))
     if a.mode == "contrast":
-        scored = V.contrast_scores(rows, "vector", index)
-        best = V.max_chunk(scored, "node_id", "score", "chunk_index", ["sim_malicious", "sim_benign"])
-        best = best.withColumn("nearest_threat_id", V.nearest_label(F.col("max_similarity")))
+        save(scan.contrast(windows, index, known, a.thresholds), a)
     else:
-        keyed = rows.withColumn("window", F.concat_ws("#", "node_id", "chunk_index"))
-        top = V.top_k(keyed, "window", index, "threat_id", "vector", a.top_k)
-        lists = top.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("rank", "threat_id", "similarity"))).alias("t"))
-        joined = keyed.select("window", "node_id", "chunk_index").join(lists, "window").select("node_id", "chunk_index", F.col("t.similarity")[0].alias("score"), F.to_json("t.threat_id").alias("topk_threat_ids"), F.to_json("t.similarity").alias("topk_scores"), F.col("t.threat_id")[0].alias("nearest_threat_id"))
-        best = V.max_chunk(joined, "node_id", "score", "chunk_index", ["nearest_threat_id", "topk_threat_ids", "topk_scores"])
-    save(best.withColumn("threshold_flags", F.to_json(V.threshold_flags(F.col("max_similarity"), a.thresholds))), a)
+        save(scan.nearest(windows, index, known, a.top_k, a.thresholds), a)
 
 
 @command("report", "scan", "nodes")
 def make_report(spark: SparkSession, a: argparse.Namespace) -> None:
     found, known = spark.read.parquet(a.scan), spark.read.parquet(a.nodes)
-    scored = found.join(known.select("node_id", "node_type"), "node_id").withColumn("nearest_category", F.col("nearest_threat_id"))
+    scored = found.withColumn("nearest_category", F.coalesce(F.nullif("nearest_category", F.lit("")), "nearest_threat_id"))
     sinks.csv(report.threshold_sweep(scored, a.thresholds).orderBy("threshold"), f"{a.out}/thresholds", overwrite=a.overwrite, single=True)
-    sinks.csv(report.strata_sample(scored, a.n, seed=a.seed), f"{a.out}/review", overwrite=a.overwrite, single=True)
+    sinks.csv(report.strata_sample(found, a.n, seed=a.seed), f"{a.out}/review", overwrite=a.overwrite, single=True)
     sinks.csv(report.top_matches(found, a.n, known).orderBy("rank"), f"{a.out}/top", overwrite=a.overwrite, single=True)
     save(report.flagged_conversations(found, known, a.cutoff), a, "conversations")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakewarden.functions.vectors import as_double, dot, unit
-from lakewarden.operators import metrics, models, nodes, report, sampling, vectors as V
+from lakewarden.operators import metrics, models, nodes, report, sampling, scan, vectors as V
 from lakewarden.plans.text_plans import RAW_SQL, WS, raw_conversations
 from lakewarden.sources.tables import table
 
@@ -190,6 +190,30 @@ def conversation_stats(spark: SparkSession, folder: str) -> DataFrame:
     return report.conversation_stats(report.flagged_conversations(results.select("node_id", "max_similarity"), results, 0.6))
 
 
+def _scan_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Five vectors as the windows of a document."""
+    window = F.col("vec_id") % 5
+    windows = embeddings(spark, folder).select(F.concat(F.lit("post:"), F.floor(F.col("vec_id") / 5)).alias("node_id"), window.alias("chunk_index"), (window * 112).alias("start_token"), (window * 112 + 128).alias("end_token"), F.concat(F.lit("window "), "vec_id").alias("text"), F.col("embedding").alias("vector"))
+    known = table(spark, folder, "documents").select(F.concat(F.lit("post:"), "doc_id").alias("node_id"), F.lit("post").alias("node_type"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("submolt_name"), F.col("text").alias("embed_text"))
+    return windows, known
+
+
+SCAN_COLUMNS = ("node_id", "node_type", "submolt_name", "max_similarity", "nearest_threat_id", "nearest_category", "num_chunks", "trigger_chunk_index", "trigger_start_token", "trigger_end_token", "trigger_chunk_text", "text_preview", "threshold_flags")
+
+
+def scan_contrast(spark: SparkSession, folder: str) -> DataFrame:
+    windows, known = _scan_tables(spark, folder)
+    protos = V.contrast_prototypes(embeddings(spark, folder), "label", "embedding", MALICIOUS, BENIGN)
+    return scan.contrast(windows, protos, known, [0.0, 0.1]).withColumn("max_similarity", F.round("max_similarity", 6)).select(*SCAN_COLUMNS)
+
+
+def scan_example(spark: SparkSession, folder: str) -> DataFrame:
+    windows, known = _scan_tables(spark, folder)
+    refs = embeddings(spark, folder).filter("vec_id % 10 = 3").select(F.concat(F.lit("seed:"), "vec_id").alias("threat_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("category"), F.lit("seed").alias("source"))
+    found = scan.nearest(windows, refs, known, 3, [0.0, 0.1], refs.filter("category != '1'"))
+    return found.withColumn("max_similarity", F.round("max_similarity", 6)).select(*SCAN_COLUMNS, "topk_threat_ids")
+
+
 def kmeans_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return models.cosine_kmeans(embeddings(spark, folder), "vec_id", "embedding", 8)
 
@@ -205,7 +229,7 @@ def hashed_encoder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    contrast_flag_summary, centroids, contrast_scores, contrast_max_chunk, doc_vector_mean_pool, vector_topk, cluster_profile, threshold_flags, fold_contrast, threshold_at_recall, confusion_metrics, tie_counts, average_precision,
+    contrast_flag_summary, centroids, contrast_scores, scan_contrast, scan_example, contrast_max_chunk, doc_vector_mean_pool, vector_topk, cluster_profile, threshold_flags, fold_contrast, threshold_at_recall, confusion_metrics, tie_counts, average_precision,
     roc_auc, pr_auc_trapezoid, fold_summary, throughput_summary, class_weights, sigmoid_head_score, threshold_sweep, strata_sample, strata_unassigned, top_matches, flagged_by_conversation, conversation_stats, kmeans_cosine, head_logreg, hashed_encoder,
 )}
 
@@ -240,7 +264,16 @@ _W = "[" + ", ".join(str(((k % 7) - 3) / 4) for k in range(64)) + "]::DOUBLE[]"
 _STRATUM = "CASE " + " ".join(f"WHEN max_similarity >= {lo} AND max_similarity < {hi} THEN '{name}'" for name, lo, hi in report.STRATA) + " END"
 _CONV = RESULTS_SQL + ", z AS (SELECT *, CASE WHEN node_type = 'post' THEN 'conv' END AS submolt_name FROM r WHERE max_similarity >= 0.6)"
 
+_SCAN = """SELECT 'post:' || owner AS node_id, 'post' AS node_type, CASE WHEN owner % 2 = 0 THEN source ELSE '' END AS submolt_name, round(score, 6) AS max_similarity, NEAREST, num_chunks, i AS trigger_chunk_index, i * 112 AS trigger_start_token, i * 112 + 128 AS trigger_end_token, 'window ' || vec_id AS trigger_chunk_text,
+    left(coalesce(text, ''), 200) AS text_preview, '{"0.0":' || (score >= 0.0) || ',"0.1":' || (score >= 0.1) || '}' AS threshold_flags"""
+
 ORACLES = {
+    "scan_contrast": SCORED_SQL + ", w AS (SELECT *, vec_id // 5 AS owner, vec_id % 5 AS i, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY score DESC, vec_id) AS r, count(*) OVER (PARTITION BY vec_id // 5) AS num_chunks FROM scored) "
+    + _SCAN.replace("NEAREST", "CASE WHEN score >= 0 THEN 'malicious' ELSE 'benign' END AS nearest_threat_id, CASE WHEN score >= 0 THEN 'malicious' ELSE 'benign' END AS nearest_category") + " FROM w JOIN documents ON doc_id = owner WHERE r = 1",
+    "scan_example": UNIT_SQL + """, k AS (SELECT a.vec_id, 'seed:' || b.vec_id AS threat_id, b.label, list_inner_product(a.u, b.u) AS s FROM u a, u b WHERE b.vec_id % 10 = 3),
+        t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, threat_id) AS n FROM k), b AS (SELECT vec_id, max(s) AS score, '[' || string_agg('"' || threat_id || '"', ',' ORDER BY n) || ']' AS topk_threat_ids, arg_min(threat_id, n) AS tid, arg_min(label, n) AS label FROM t WHERE n <= 3 GROUP BY vec_id),
+        w AS (SELECT *, vec_id // 5 AS owner, vec_id % 5 AS i, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY score DESC, vec_id) AS r, count(*) OVER (PARTITION BY vec_id // 5) AS num_chunks FROM b) """
+    + _SCAN.replace("NEAREST", "tid AS nearest_threat_id, CASE WHEN label = 1 THEN '' ELSE label::VARCHAR END AS nearest_category") + ", topk_threat_ids FROM w JOIN documents ON doc_id = owner WHERE r = 1",
     "contrast_flag_summary": SCORED_SQL + "SELECT label, count(*) AS n, count(*) FILTER (WHERE score >= 0) AS n_flagged FROM scored GROUP BY label",
     "centroids": UNIT_SQL + ", m AS (SELECT label, pos, avg(x) AS x, count(*) AS n FROM x GROUP BY ALL), z AS (SELECT label, sqrt(sum(x * x)) AS z FROM m GROUP BY label) SELECT label, n, pos::BIGINT AS pos, round(x / z, 6) AS x FROM m JOIN z USING (label)",
     "contrast_scores": SCORED_SQL + "SELECT vec_id, round(sim_malicious, 6) AS sim_malicious, round(sim_benign, 6) AS sim_benign, round(score, 6) AS score, CASE WHEN round(score, 6) >= 0 THEN 'malicious' ELSE 'benign' END AS nearest FROM scored",

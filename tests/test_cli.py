@@ -50,10 +50,10 @@ def test_corpus_to_report(spark, tmp_path):
         out = {r.fold: r for r in spark.read.parquet(at(command)).collect()}
         assert set(out) == {"0", "1", "mean", "std"} and out["mean"].recall >= 0.8
     severity.withColumn("vector", cells).withColumn("threat_id", F.concat(F.lit("seed:"), "node_id")).write.parquet(at("dictionary"))
-    spark.read.parquet(at("vectors")).withColumn("chunk_index", F.lit(0).cast("long")).write.parquet(at("chunkvec"))
+    spark.read.parquet(at("windows")).join(spark.read.parquet(at("vectors")), "node_id").write.parquet(at("chunkvec"))
     for mode in ("contrast", "cluster", "example"):
         run("build-index", "--vectors", at("dictionary"), "--mode", mode, "--k", "3", "--out", at(f"index-{mode}"))
-        run("scan", "--vectors", at("chunkvec"), "--index", at(f"index-{mode}"), "--mode", mode, "--top-k", "2", "--out", at(f"scan-{mode}"))
+        run("scan", "--windows", at("chunkvec"), "--nodes", at("nodes"), "--index", at(f"index-{mode}"), "--mode", mode, "--top-k", "2", "--out", at(f"scan-{mode}"))
         assert spark.read.parquet(at(f"scan-{mode}")).count() == 20
     run("report", "--scan", at("scan-example"), "--nodes", at("nodes"), "--n", "5", "--out", at("report"))
     assert readers.csv_text(spark, at("report/thresholds")).count() == 4
