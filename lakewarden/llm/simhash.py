@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from lakewarden.llm.blocks import text_bytes
 from lakewarden.llm.scratch import discard, stage
 from lakewarden.llm.shingles import SEED, shingle_hashes
-from lakewarden.llm.similarity import similar_links
+from lakewarden.llm.similarity import band_keys, candidates, verified
 from lakewarden.sources.tables import table
 
 BITS = 64
@@ -51,29 +51,35 @@ def signed(x: int) -> int:
 
 def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of a text as a signed long; no words give 0."""
-    raw = shingle_hashes(text, width, seed)
-    if not len(raw):
-        return 0
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(raw), CHUNK):
-        piece = raw[at : at + CHUNK]
+    return simhash(shingle_hashes(text, width, seed))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes, as a signed long; 0 of none."""
+    ones, n = np.zeros(BITS, np.int64), len(hashes)
+    for at in range(0, n, CHUNK):
+        piece = hashes[at : at + CHUNK]
         bits = np.unpackbits(piece.view(np.uint8).reshape(len(piece), 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32)
-    n = len(raw)
     packed = np.packbits(2 * ones > n, bitorder="little")
     return int(packed.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) for every row; null and wordless texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, sketch: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row, with ``sketch`` also the band keys of ``similarity``; null and wordless texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, width, seed) for t in text_bytes(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found, keys = [], []
+            for text in text_bytes(batch.column(1)):
+                hashes = shingle_hashes(text, width, seed)
+                found.append(simhash(hashes))
+                keys += band_keys([hashes]) if sketch else []
+            more = [pa.array(keys, pa.list_(pa.int64()))] if sketch else []
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64()), *more], names=["doc_id", "fp", "keys"][: 2 + sketch])
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, fp long")
+    return named.mapInArrow(run, "doc_id long, fp long" + ", keys array<long>" * sketch)
 
 
 def _array(values: list[int]) -> Column:
@@ -158,13 +164,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     With ``similarity``, fingerprints are also linked if the shingle sets of
     their first documents are that much alike (see ``similarity``).
     """
-    rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed), "fingerprints")
+    rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed, sketch=similarity is not None), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     links = star_links(stage(possible_neighbours(classes.select("fp")), "neighbours"))
     if similarity is not None:
-        first = classes.filter("least_id is not null").select("fp", "least_id")
-        texts = docs.join(first, F.col(id_col) == F.col("least_id")).select(F.col("fp").alias("node"), F.col(text_col).cast("string").alias("text"))
-        links = links.union(similar_links(texts, width=width, similarity=similarity))
+        first = rows.join(classes.withColumnRenamed("least_id", "doc_id"), ["fp", "doc_id"])
+        pairs = candidates(first.groupBy(F.col("fp").alias("node")).agg(F.min("keys").alias("keys")))
+        involved = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct().join(classes, "fp")
+        named = docs.select(F.col(id_col).alias("least_id"), F.col(text_col).cast("string").alias("text"))
+        texts = named.join(involved, "least_id").select(F.col("fp").alias("node"), "text")
+        links = links.union(verified(pairs, texts, width=width, similarity=similarity))
     roots = components(links).withColumnRenamed("node", "fp")
     grouped = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -172,7 +181,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = grouped.join(roots.select("fp"), "fp", "left_semi").join(least, "root").select("fp", "component_id")
     ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
     # A fingerprint may hold a third of all rows: a plain equi-join, which AQE splits where it is skewed.
-    return rows.join(ids, "fp")
+    return rows.select("doc_id", "fp").join(ids, "fp")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -43,20 +43,29 @@ def _band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def similar_links(texts: DataFrame, *, width: int, similarity: float) -> DataFrame:
-    """Links (src, dst) between rows of ``texts`` (node long, unique; text) that are at least ``similarity`` alike.
-
-    Rows without words have no links.
-    """
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
     dice = np.random.default_rng(SEED)
     a = dice.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = dice.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    return a, dice.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [shingle_hashes(t, width) for t in text_bytes(batch.column(1))]
-            keys = [_band_keys(h, a, b) if len(h) else np.zeros(0, np.int64) for h in hashes]
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+
+def band_keys(hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """Keys of the bands of each text from its shingle hashes; none without words."""
+    a, b = _permutations()
+    return [_band_keys(h, a, b) if len(h) else np.zeros(0, np.int64) for h in hashes]
+
+
+def candidates(sketched: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of ``sketched`` (node long, unique; keys) that meet in a band, staged."""
+    banded = sketched.select("node", F.explode("keys").alias("key"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
+    met = F.array(F.first("node").over(order), *[F.lag("node", k).over(order) for k in range(1, NEXT + 1)])
+    pairs = banded.select("node", met.alias("met")).select("node", F.explode("met").alias("other")).filter("other is not null and other != node")
+    return stage(pairs.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct(), "similar-pairs")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, *, width: int, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets are at least ``similarity`` alike; ``texts`` has (node, text) of all their nodes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,14 +81,6 @@ def similar_links(texts: DataFrame, *, width: int, similarity: float) -> DataFra
                 kept.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["src", "dst"]).filter(pa.array(kept, pa.bool_()))
 
-    named = texts.select("node", "text")
-    banded = named.mapInArrow(sketch, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
-    first = F.first("node").over(order)
-    met = F.array(first, *[F.lag("node", k).over(order) for k in range(1, NEXT + 1)])
-    pairs = banded.select("node", met.alias("met")).select("node", F.explode("met").alias("other")).filter("other is not null and other != node")
-    pairs = stage(pairs.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct(), "similar-pairs")
-    involved = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    found = stage(named.join(involved, "node", "left_semi").mapInArrow(sets, "node long, shingles binary"), "similar-sets")
+    found = stage(texts.select("node", "text").mapInArrow(sets, "node long, shingles binary"), "similar-sets")
     both = pairs.join(found.withColumnsRenamed({"node": "src", "shingles": "x"}), "src").join(found.withColumnsRenamed({"node": "dst", "shingles": "y"}), "dst")
     return both.select("src", "dst", "x", "y").mapInArrow(verify, "src long, dst long")

@@ -7,11 +7,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lakewarden.llm import similarity, simhash
+from lakewarden.llm.shingles import shingle_hashes
 from tests.llm.test_decontaminate import plain_hits, words
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_quality import plain
@@ -37,7 +37,9 @@ def test_similar_links(spark):
             texts.append(" ".join(v))
     texts += [None, "", "one", "one two"]
     frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    got = {(r.src, r.dst) for r in similarity.similar_links(frame, width=5, similarity=0.8).collect()}
+    keys = similarity.band_keys([shingle_hashes((t or "").encode(), 5) for t in texts])
+    sketched = spark.createDataFrame([(i, k.tolist()) for i, k in enumerate(keys)], "node long, keys array<long>")
+    got = {(r.src, r.dst) for r in similarity.verified(similarity.candidates(sketched), frame, width=5, similarity=0.8).collect()}
     sets = [shingles(t) for t in texts]
     alike = lambda x, y: bool(x) and len(x & y) >= 0.8 * len(x | y)
     want = {(i, j) for j in range(len(sets)) for i in range(j) if alike(sets[i], sets[j])}
@@ -118,4 +120,3 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "decontamination", "mixing", "tokens"]
-    assert F.col("doc_id") is not None

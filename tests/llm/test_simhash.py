@@ -86,3 +86,17 @@ def test_links_of_fingerprints(spark):
     for x in fps:
         same.setdefault(roots.get(x, x), set()).add(want[x])
     assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(want.values()))
+
+
+def test_similarity_and_clashing_columns(spark):
+    dice = random.Random(11)
+    words = [f"w{dice.randrange(999)}" for _ in range(200)]
+    near = list(words)
+    near[100] = near[50] = "new"
+    texts = [" ".join(words), " ".join(near), " ".join(reversed(words)), None]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    frame = frame.withColumns({c: F.lit("own") for c in ("fp", "node", "keys", "least_id", "component_id", "src")})
+    out = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, width=5, similarity=0.8).collect()}
+    assert out == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert simhash.drop_near_duplicates(frame, width=5, similarity=0.8).columns == frame.columns
+    assert simhash.near_duplicates(frame.limit(0), width=5, similarity=0.8).count() == 0
