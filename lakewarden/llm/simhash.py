@@ -82,6 +82,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return named.mapInArrow(run, "doc_id long, fp long" + ", keys array<long>" * sketch)
 
 
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """Dealt by hash to as many tasks as the session shuffles into, so that few small files do not mean few tasks for many variants."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+
+
 def _array(values: list[int]) -> Column:
     return F.array(*[F.lit(signed(v)) for v in values])
 
@@ -106,7 +111,7 @@ def possible_neighbours(fps: DataFrame) -> DataFrame:
         # The hidden bits tell the thirds apart; should two still agree by chance, a fingerprint more passes.
         mark = sum(1 << b for b in hidden[: part * 5])
         balls.append(_flips(F.col("fp").bitwiseAND(F.lit(signed(seen))).bitwiseOR(F.lit(signed(mark))), masks))
-    emitted = fps.select("fp", F.explode(F.concat(*balls)).alias("v"))
+    emitted = spread(fps, "fp").select("fp", F.explode(F.concat(*balls)).alias("v"))
     beside = Window.partitionBy("v").orderBy("fp")
     met = emitted.select("fp", (F.lag("fp").over(beside).isNotNull() | F.lead("fp").over(beside).isNotNull()).alias("met"))
     return met.filter("met").select("fp").distinct()
@@ -123,7 +128,7 @@ def star_links(fps: DataFrame) -> DataFrame:
         F.transform(_flips(fp, core), lambda v: F.struct(v.alias("v"), F.lit(True).alias("core"))),
         F.transform(outer, lambda v: F.struct(v.alias("v"), F.lit(False).alias("core"))),
     )
-    emitted = fps.select("fp", F.explode(ball).alias("at")).select("fp", "at.*")
+    emitted = spread(fps, "fp").select("fp", F.explode(ball).alias("at")).select("fp", "at.*")
     # At most 2,081 fingerprints can lie within 2 bits of a variant, so a group is bounded.
     groups = emitted.groupBy("v").agg(F.min(F.when(F.col("core"), fp)).alias("src"), F.collect_list("fp").alias("members"))
     linked = groups.filter("src is not null and size(members) > 1").select("src", F.explode("members").alias("dst"))
