@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lakewarden.functions.bind import bind
+
 
 def as_double(vector: Column) -> Column:
     return vector.cast("array<double>")
@@ -19,6 +21,5 @@ def norm(vector: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    """L2-normalise; a zero vector is divided by 1 and stays zero."""
-    size = norm(vector)
-    return F.transform(vector, lambda x: x / F.when(size == 0, F.lit(1.0)).otherwise(size))
+    """L2-normalise; a zero vector is divided by 1 and stays zero. The norm is computed once, not once an element."""
+    return bind(norm(vector), lambda size: F.transform(vector, lambda x: x / F.when(size == 0, F.lit(1.0)).otherwise(size)))

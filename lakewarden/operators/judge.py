@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from lakewarden.functions.bind import bind
 from lakewarden.functions.text import joined_labels, strip
 
 # Result columns, identity columns, and texts that requests carry.
@@ -63,9 +64,8 @@ def _object(text: Column) -> Column:
     is_object = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
     start, end = F.locate("{", text), F.char_length(text) - F.locate("}", F.reverse(text)) + 1
     inner = F.when((F.locate("{", text) > 0) & (F.locate("}", text) > 0) & (end > start), F.substring(text, start, end - start + 1))
-    whole = F.try_parse_json(text)
     # A whole text that parses decides, even if it is no object.
-    return F.when(whole.isNotNull(), is_object(whole)).otherwise(is_object(F.try_parse_json(inner)))
+    return bind(F.try_parse_json(text), lambda whole: F.when(whole.isNotNull(), is_object(whole)).otherwise(bind(F.try_parse_json(inner), is_object)))
 
 
 def _value(obj: Column, key: str) -> Column:
@@ -94,19 +94,23 @@ def parse_verdict(content: Column) -> Column:
     is cut to an integer; text that is no integer gives nothing. An answer
     without an object is ``unparseable``, with its first 500 characters.
     """
-    text = strip(F.coalesce(content, F.lit("")))
-    obj = _object(text)
+    return bind(strip(F.coalesce(content, F.lit(""))), lambda text: bind(_object(text), lambda obj: F.when(obj.isNull(), _unparseable(text)).otherwise(_verdict(obj))))
+
+
+def _unparseable(text: Column) -> Column:
+    none = F.lit("")
+    return F.struct(F.lit("unparseable").alias("verdict"), none.alias("severity"), none.alias("risk_taxonomies"), none.alias("owasp_risk_codes"), F.substring(text, 1, 500).alias("harmful_intent"))
+
+
+def _verdict(obj: Column) -> Column:
     verdict, label = _value(obj, "verdict"), _value(obj, "label")
     listed, other = _value(obj, "risk_taxonomy_categories"), _value(obj, "risk_taxonomies")
     raw = _value(obj, "severity")
     whole = F.when(F.schema_of_variant(raw).isin("STRING"), strip(F.try_variant_get(raw, "$", "string")).try_cast("bigint")).otherwise(F.try_variant_get(raw, "$", "bigint"))
-    good = F.struct(
+    return F.struct(
         F.substring(F.when(verdict.isNull(), _as_text(label)).otherwise(_as_text(verdict)), 1, 100).alias("verdict"), F.coalesce(whole.cast("string"), F.lit("")).alias("severity"),
         F.when(listed.isNull(), _labels(other)).otherwise(_labels(listed)).alias("risk_taxonomies"), _labels(_value(obj, "OWASP_risk_codes")).alias("owasp_risk_codes"), F.substring(_as_text(_value(obj, "harmful_intent")), 1, 500).alias("harmful_intent"),
     )
-    none = F.lit("")
-    bad = F.struct(F.lit("unparseable").alias("verdict"), none.alias("severity"), none.alias("risk_taxonomies"), none.alias("owasp_risk_codes"), F.substring(text, 1, 500).alias("harmful_intent"))
-    return F.when(obj.isNull(), bad).otherwise(good)
 
 
 RESPONSE = """custom_id string, response struct<status_code: int, body: struct<output: array<struct<type: string, content: array<struct<type: string, text: string>>>>,
