@@ -109,8 +109,10 @@ class Layouts:
             parts.append(f"<h1>{self.words(2, 14)}</h1>")
         for _ in range(int(2 ** (d.random() * 5.3))):
             x = d.random()
-            if x < 0.78:
+            if x < 0.7:
                 parts.append(self.paragraph())
+            elif x < 0.78:
+                parts.append(f"<div>{self.inline(self.words(5, 120))}.</div>")
             elif x < 0.84:
                 parts.append(f"<h{d.choice('234')}>{self.words(1, 8)}</h2>")
             elif x < 0.89:
@@ -158,7 +160,9 @@ class Layouts:
         if tag in ("div", "section") and not names:
             names = "content"
         inside = self.tagged(tag, names, self.main())
-        if d.random() < 0.3:
+        if d.random() < 0.06:
+            inside = inside[inside.index(">") + 1 : inside.rindex("<")]  # right below the body
+        elif d.random() < 0.3:
             inside = self.tagged(d.choice(("div", "main")), d.choice(("wrapper", "container", "page", "content", "site")), inside)
         made = []
         for part, label in ((before, 0), (inside, 1), (after, 0)):
