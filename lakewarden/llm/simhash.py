@@ -41,6 +41,8 @@ from lakewarden.sources.tables import table
 BITS = 64
 RADIUS = 3
 SHINGLE = 3
+#: A fingerprint of more than one row in so many is joined apart.
+HOT = 1000
 #: Shingles whose bits are counted at a time, so that long texts need no more memory.
 CHUNK = 1 << 14
 
@@ -170,12 +172,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     their first documents are that much alike (see ``similarity``).
     """
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed, sketch=similarity is not None), "fingerprints")
-    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
+    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "classes")
     links = star_links(stage(possible_neighbours(classes.select("fp")), "neighbours"))
     if similarity is not None:
-        first = rows.join(classes.withColumnRenamed("least_id", "doc_id"), ["fp", "doc_id"])
+        first = rows.join(classes.select("fp", F.col("least_id").alias("doc_id")), ["fp", "doc_id"])
         pairs = candidates(first.groupBy(F.col("fp").alias("node")).agg(F.min("keys").alias("keys")))
-        involved = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct().join(classes, "fp")
+        involved = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct().join(classes.select("fp", "least_id"), "fp")
         named = docs.select(F.col(id_col).alias("least_id"), F.col(text_col).cast("string").alias("text"))
         texts = named.join(involved, "least_id").select(F.col("fp").alias("node"), "text")
         links = links.union(verified(pairs, texts, width=width, similarity=similarity))
@@ -184,9 +186,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     # Only classes with a link need the second join; the rest answer for themselves.
     linked = grouped.join(roots.select("fp"), "fp", "left_semi").join(least, "root").select("fp", "component_id")
-    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    # A fingerprint may hold a third of all rows: a plain equi-join, which AQE splits where it is skewed.
-    return rows.select("doc_id", "fp").join(ids, "fp")
+    ids = classes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least_id").alias("component_id"))
+    # A fingerprint may hold a third of all rows. Those of more than one row in HOT number fewer than HOT and are
+    # broadcast, so that their rows stay where they are; the others meet in an ordinary join.
+    least = rows.count() / HOT
+    hot, others = F.broadcast(ids.filter(F.col("copies") > least).drop("copies")), ids.filter(F.col("copies") <= least).drop("copies")
+    rows = rows.select("doc_id", "fp")
+    return rows.join(hot, "fp").union(rows.join(hot.select("fp"), "fp", "left_anti").join(others, "fp"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
