@@ -9,23 +9,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from lakewarden.functions.vectors import as_double, dot, unit
 
 
+def _unit_vector(vector: str) -> Column:
+    return array_to_vector(unit(as_double(F.col(vector))))
+
+
 def centroids(df: DataFrame, key: str | Sequence[str], vector: str) -> DataFrame:
     """Unit mean of unit vectors for each key: (key..., centroid, n).
 
-    Positions are exploded so that the mean is an ordinary partial aggregate:
-    what is shuffled is keys x dimensions partial sums for each task.
+    One vector aggregate: a task keeps one running sum a key and shuffles that,
+    whatever the rows or dimensions. Rows without a vector are left out.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    parts = df.select(*keys, F.posexplode(unit(as_double(F.col(vector)))).alias("pos", "x"))
-    means = parts.groupBy(*keys, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    packed = means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("cells"), F.max("n").alias("n"))
-    return packed.select(*keys, unit(F.col("cells.x")).alias("centroid"), F.col("n"))
+    found = df.filter(F.col(vector).isNotNull()).select(*keys, _unit_vector(vector).alias("v"))
+    means = found.groupBy(*keys).agg(Summarizer.mean(F.col("v")).alias("m"), F.count("*").alias("n"))
+    return means.select(*keys, unit(vector_to_array("m")).alias("centroid"), "n")
 
 
 def contrast_prototypes(df: DataFrame, label: str, vector: str, positive: Sequence, negative: Sequence) -> DataFrame:
@@ -58,13 +62,15 @@ def fold_prototypes(df: DataFrame, fold: str, label: str, vector: str, positive:
     """(fold, malicious, benign): for each fold the prototypes of all other folds, from one pass.
 
     Sums of unit vectors by (fold, side) are added up over the other folds, so
-    vectors are read once, not once a fold.
+    vectors are read once, not once a fold. A sum needs no division: only its
+    direction counts.
     """
     side = F.when(F.col(label).isin(list(positive)), "malicious").when(F.col(label).isin(list(negative)), "benign")
-    parts = df.select(F.col(fold).alias("own"), side.alias("side"), F.posexplode(unit(as_double(F.col(vector)))).alias("pos", "x")).filter("side is not null")
-    sums = parts.groupBy("own", "side", "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    spread = sums.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).filter("fold != own")
-    means = spread.groupBy("fold", "side", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(fold).alias("own"), side.alias("side"), _unit_vector(vector).alias("v")).filter("side is not null")
+    sums = rows.groupBy("own", "side").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("x"))
+    # From here on there are folds x sides rows.
+    cells = sums.select("own", "side", F.posexplode("x").alias("pos", "x")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).filter("fold != own")
+    means = cells.groupBy("fold", "side", "pos").agg(F.sum("x").alias("x"))
     packed = means.groupBy("fold", "side").agg(unit(F.sort_array(F.collect_list(F.struct("pos", "x")))["x"]).alias("c"))
     pick = lambda s: F.max(F.when(F.col("side") == s, F.col("c")))
     return packed.groupBy("fold").agg(pick("malicious").alias("malicious"), pick("benign").alias("benign"))
