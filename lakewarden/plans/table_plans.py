@@ -65,17 +65,17 @@ def duplicate_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def set_difference(spark: SparkSession, folder: str) -> DataFrame:
-    return contracts.set_difference(documents(spark, folder).filter("doc_id % 2 = 0"), judged(spark, folder), "node_id")
+    return contracts.set_difference(documents(spark, folder), judged(spark, folder), "node_id")
 
 
 def hash_verification(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder).withColumn("expected", F.when(F.col("doc_id") % 50 == 0, "wrong").otherwise(T.sha256(F.col("text"))))
+    docs = documents(spark, folder).withColumn("expected", F.when(F.col("lang") == "es", "wrong").otherwise(T.sha256(F.col("text"))))
     return contracts.hash_mismatches(docs, "text", "expected").select("node_id")
 
 
 def text_equality_check(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    other = docs.withColumn("text", F.when(F.col("doc_id") % 40 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).filter("doc_id % 100 != 1")
+    other = docs.withColumn("text", F.when(F.col("lang") == "es", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).filter("lang != 'fr'")
     return contracts.text_mismatches(docs, other, "node_id", "text")
 
 
@@ -133,19 +133,15 @@ def response_parse(spark: SparkSession, folder: str) -> DataFrame:
     usage = F.when(F.col("event_id") % 3 > 0, F.struct(F.col("event_id").alias("input_tokens"), F.struct((F.col("event_id") % 9).alias("cached_tokens")).alias("input_tokens_details")))
     body = F.struct(F.array(thought, message).alias("output"), usage.alias("usage"))
     line = F.to_json(F.struct(F.col("event_id").cast("string").alias("custom_id"), F.struct(F.lit(200).alias("status_code"), body.alias("body")).alias("response")))
-    lines = table(spark, folder, "events").select(F.when(F.col("event_id") % 10 == 0, F.lit("  ")).otherwise(line).alias("value"))
+    lines = table(spark, folder, "events").select(F.when(F.col("event_type") == "error", F.lit("  ")).otherwise(line).alias("value"))
     return judge.parse_responses(lines).drop("line_error")
 
 
-def _outcomes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ids = asked(spark, folder).select("node_id", "doc_id")
-    twice = ids.filter("doc_id % 9 = 0")
-    return ids, ids.filter("doc_id % 3 = 0").unionByName(twice), ids.filter("doc_id % 4 = 0")
-
-
 def reconcile_union(spark: SparkSession, folder: str) -> DataFrame:
-    ids, ok, bad = _outcomes(spark, folder)
-    return judge.reconcile(ids, ok.select("node_id"), bad.select("node_id"))
+    """Judged documents succeeded (toxic ones twice), German ones also have errors, the rest is missing."""
+    docs, done = documents(spark, folder), judged(spark, folder)
+    ok = done.select("node_id").unionByName(done.filter("severity != '0'").select("node_id"))
+    return judge.reconcile(docs.select("node_id"), ok, docs.filter("lang = 'de'").select("node_id"))
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,20 +156,20 @@ RESULTS_SQL = """, r AS (SELECT d.doc_id + 1 AS example_num, j.node_id, 'post' A
 
 def update_join_merge(spark: SparkSession, folder: str) -> DataFrame:
     base = _results(spark, folder)
-    retry = base.filter("verdict = 'error' or example_num % 5 = 0").withColumns({"verdict": F.lit("retried"), "severity": F.lit(""), "example_num": F.lit(0).cast("long")})
+    retry = base.filter("verdict = 'error' or severity = '3'").withColumns({"verdict": F.lit("retried"), "severity": F.lit(""), "example_num": F.lit(0).cast("long")})
     return judge.merge_retry(base, retry.select(*base.columns))
 
 
 def retry_select(spark: SparkSession, folder: str) -> DataFrame:
     results = _results(spark, folder)
-    source = asked(spark, folder).filter("doc_id % 12 != 0").drop("is_truncated")
+    source = asked(spark, folder).filter("lang != 'fr'").drop("is_truncated")
     return judge.retry_input(results.unionByName(results), source, ["error"]).select("example_num", "node_id", "is_truncated")
 
 
 def reparse_overlay(spark: SparkSession, folder: str) -> DataFrame:
     results = _results(spark, folder).withColumns({c: F.lit("") for c in ("risk_taxonomies", "owasp_risk_codes", "harmful_intent")})
     texts = F.array(*[F.lit(a) for a, _ in ANSWERS])
-    raw = results.filter("example_num % 2 = 0")
+    raw = results.filter("verdict != 'error'")
     raw = raw.select("node_id", "example_num", F.lit("old").alias("output_text")).unionByName(raw.select("node_id", (F.col("example_num") + 100_000).alias("example_num"), F.get(texts, (F.col("example_num") % len(ANSWERS)).cast("int")).alias("output_text")))
     return judge.reparse(results, raw)
 
@@ -254,9 +250,9 @@ ORACLES = {
     "one_to_one_report": JUDGED_SQL + "SELECT *, n_left_repeated = 0 AND n_right_repeated = 0 AND n_unmatched = 0 AS ok FROM (SELECT (SELECT count(*) FROM documents) AS n_left, (SELECT count(*) - count(DISTINCT doc_id) FROM documents) AS n_left_repeated, (SELECT count(*) - count(DISTINCT node_id) FROM j) AS n_right_repeated, (SELECT count(*) FROM documents WHERE 'post:' || doc_id NOT IN (SELECT node_id FROM j)) AS n_unmatched)",
     "semi_join": "SELECT 'post:' || doc_id AS node_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "duplicate_texts": "SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "set_difference": JUDGED_SQL + ", d AS (SELECT 'post:' || doc_id AS node_id FROM documents WHERE doc_id % 2 = 0) SELECT count(*) FILTER (WHERE j.node_id IS NULL) AS n_left_only, count(*) FILTER (WHERE d.node_id IS NULL) AS n_right_only, count(*) FILTER (WHERE d.node_id = j.node_id) AS n_both FROM d FULL JOIN j ON d.node_id = j.node_id",
-    "hash_verification": "SELECT 'post:' || doc_id AS node_id FROM documents WHERE doc_id % 50 = 0",
-    "text_equality_check": "SELECT 'post:' || doc_id AS node_id FROM documents WHERE text IS NOT NULL AND (doc_id % 40 = 0 AND doc_id % 100 != 1 OR doc_id % 100 = 1 AND text != '')",
+    "set_difference": JUDGED_SQL + ", d AS (SELECT 'post:' || doc_id AS node_id FROM documents) SELECT count(*) FILTER (WHERE j.node_id IS NULL) AS n_left_only, count(*) FILTER (WHERE d.node_id IS NULL) AS n_right_only, count(*) FILTER (WHERE d.node_id = j.node_id) AS n_both FROM d FULL JOIN j ON d.node_id = j.node_id",
+    "hash_verification": "SELECT 'post:' || doc_id AS node_id FROM documents WHERE lang = 'es'",
+    "text_equality_check": "SELECT 'post:' || doc_id AS node_id FROM documents WHERE text IS NOT NULL AND (lang = 'es' OR (lang = 'fr' OR lang IS NULL) AND text != '')",
     "anti_join_pending": "SELECT 'post:' || doc_id AS node_id, doc_id + 1 AS example_num FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 150",
     "prompt_render": "SELECT 'post:' || doc_id AS node_id, sha256('<sample>' || chr(10) || replace(" + _RENDER.replace("BODY", _TRIM.replace("text,", "text || ' </sample>',")) + ", '</sample>', '<⁄sample>') || chr(10) || '</sample>') AS prompt_sha256 FROM documents",
     "request_json": "SELECT 'post:' || doc_id AS node_id, 'judge-1' AS model, 'Judge this.' AS prompt, sha256('<sample>' || chr(10) || replace(" + _RENDER.replace("BODY", _TRIM) + ", '</sample>', '<⁄sample>') || chr(10) || '</sample>') AS content_sha256 FROM documents",
@@ -264,11 +260,11 @@ ORACLES = {
         'verdict:     ' || coalesce(CASE WHEN severity = '0' THEN 'safe' WHEN severity IS NOT NULL THEN 'unsafe' END, '') || '  |  severity: ' || coalesce(severity, '') || chr(10) || 'risk_taxonomies: ' || chr(10) || 'owasp_risk_codes: ' || chr(10) || 'harmful_intent:  ' || chr(10) ||
         CASE WHEN d.doc_id % 2 = 0 THEN 'title: ' || source || chr(10) ELSE '' END || chr(10) || coalesce(text, '')) AS block_sha256 FROM documents d LEFT JOIN j ON j.node_id = 'post:' || d.doc_id""",
     "verdict_parse": "SELECT event_id, " + ", ".join(f"{_ANSWER(k, f'event_id % {len(ANSWERS)}')} AS {c}" for k, c in enumerate(_PARTS)) + " FROM events",
-    "response_parse": "SELECT event_id::VARCHAR AS node_id, 200 AS status_code, event_type || props AS output_text, CASE WHEN event_id % 3 > 0 THEN event_id::VARCHAR ELSE '' END AS input_tokens, '' AS output_tokens, CASE WHEN event_id % 3 > 0 THEN (event_id % 9)::VARCHAR ELSE '' END AS cached_tokens, '' AS reasoning_tokens FROM events WHERE event_id % 10 != 0",
-    "reconcile_union": "SELECT 'post:' || doc_id AS node_id, 'success' AS outcome FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'post:' || doc_id, 'success' FROM documents WHERE doc_id % 9 = 0 UNION ALL SELECT 'post:' || doc_id, CASE WHEN doc_id % 4 = 0 THEN 'error' ELSE 'missing' END FROM documents WHERE doc_id % 3 != 0",
-    "update_join_merge": JUDGED_SQL + RESULTS_SQL + "SELECT example_num, node_id, node_type, CASE WHEN verdict = 'error' OR example_num % 5 = 0 THEN 'retried' ELSE verdict END AS verdict, CASE WHEN verdict = 'error' OR example_num % 5 = 0 THEN '' ELSE severity END AS severity FROM r",
-    "retry_select": JUDGED_SQL + RESULTS_SQL + "SELECT row_number() OVER (ORDER BY example_num) AS example_num, node_id, false AS is_truncated FROM r WHERE verdict = 'error' AND (example_num - 1) % 12 != 0",
-    "reparse_overlay": JUDGED_SQL + RESULTS_SQL + "SELECT example_num, node_id, node_type, " + ", ".join(f"CASE WHEN example_num % 2 = 0 THEN {_ANSWER(k, f'example_num % {len(ANSWERS)}')} ELSE {c if k < 2 else _quoted('')} END AS {c}" for k, c in enumerate(_PARTS)) + " FROM r",
+    "response_parse": "SELECT event_id::VARCHAR AS node_id, 200 AS status_code, event_type || props AS output_text, CASE WHEN event_id % 3 > 0 THEN event_id::VARCHAR ELSE '' END AS input_tokens, '' AS output_tokens, CASE WHEN event_id % 3 > 0 THEN (event_id % 9)::VARCHAR ELSE '' END AS cached_tokens, '' AS reasoning_tokens FROM events WHERE event_type != 'error'",
+    "reconcile_union": JUDGED_SQL + "SELECT node_id, 'success' AS outcome FROM j UNION ALL SELECT node_id, 'success' FROM j WHERE severity != '0' UNION ALL SELECT 'post:' || doc_id, CASE WHEN lang = 'de' THEN 'error' ELSE 'missing' END FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "update_join_merge": JUDGED_SQL + RESULTS_SQL + "SELECT example_num, node_id, node_type, CASE WHEN verdict = 'error' OR severity = '3' THEN 'retried' ELSE verdict END AS verdict, CASE WHEN verdict = 'error' OR severity = '3' THEN '' ELSE severity END AS severity FROM r",
+    "retry_select": JUDGED_SQL + RESULTS_SQL + "SELECT row_number() OVER (ORDER BY example_num) AS example_num, node_id, false AS is_truncated FROM r JOIN documents d ON r.example_num = d.doc_id + 1 WHERE verdict = 'error' AND lang != 'fr'",
+    "reparse_overlay": JUDGED_SQL + RESULTS_SQL + "SELECT example_num, node_id, node_type, " + ", ".join(f"CASE WHEN verdict != 'error' THEN {_ANSWER(k, f'example_num % {len(ANSWERS)}')} ELSE {c if k < 2 else _quoted('')} END AS {c}" for k, c in enumerate(_PARTS)) + " FROM r",
     "severity_normalize": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '3' WHEN 2 THEN '5' ELSE '' END AS severity FROM events",
     "crosstab_fold_severity": _FOLDS + "SELECT fold, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS severity_{s}" for s in "0345") + " FROM f GROUP BY fold",
     "value_counts_head": "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10",

@@ -57,7 +57,7 @@ def doc_vector_mean_pool(spark: SparkSession, folder: str) -> DataFrame:
 
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     vecs = embeddings(spark, folder)
-    refs = vecs.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("ref_id"), "embedding")
+    refs = vecs.filter(F.col("label").isin(*MALICIOUS)).select(F.col("vec_id").alias("ref_id"), "embedding")
     found = V.top_k(vecs.select("vec_id", "embedding"), "vec_id", refs, "ref_id", "embedding", 5)
     return found.withColumn("similarity", F.round("similarity", 6))
 
@@ -193,7 +193,7 @@ def conversation_stats(spark: SparkSession, folder: str) -> DataFrame:
 def _scan_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Five vectors as the windows of a document."""
     window = F.col("vec_id") % 5
-    windows = embeddings(spark, folder).select(F.concat(F.lit("post:"), F.floor(F.col("vec_id") / 5)).alias("node_id"), window.alias("chunk_index"), (window * 112).alias("start_token"), (window * 112 + 128).alias("end_token"), F.concat(F.lit("window "), "vec_id").alias("text"), F.col("embedding").alias("vector"))
+    windows = embeddings(spark, folder).select(F.concat(F.lit("post:"), F.floor(F.col("vec_id") / 5)).alias("node_id"), window.alias("chunk_index"), (window * 112).alias("start_token"), (window * 112 + 128).alias("end_token"), F.concat(F.lit("window "), "vec_id").alias("text"), F.col("embedding").alias("vector"), "label")
     known = table(spark, folder, "documents").select(F.concat(F.lit("post:"), "doc_id").alias("node_id"), F.lit("post").alias("node_type"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("submolt_name"), F.col("text").alias("embed_text"))
     return windows, known
 
@@ -209,8 +209,9 @@ def scan_contrast(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_example(spark: SparkSession, folder: str) -> DataFrame:
     windows, known = _scan_tables(spark, folder)
-    refs = embeddings(spark, folder).filter("vec_id % 10 = 3").select(F.concat(F.lit("seed:"), "vec_id").alias("threat_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("category"), F.lit("seed").alias("source"))
-    found = scan.nearest(windows, refs, known, 3, [0.0, 0.1], refs.filter("category != '1'"))
+    windows = windows.filter(~F.col("label").isin(*MALICIOUS))  # the malicious vectors are the dictionary
+    refs = embeddings(spark, folder).filter(F.col("label").isin(*MALICIOUS)).select(F.concat(F.lit("seed:"), "vec_id").alias("threat_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("category"), F.lit("seed").alias("source"))
+    found = scan.nearest(windows, refs, known, 3, [0.0, 0.1], refs.filter("category != '4'"))
     return found.withColumn("max_similarity", F.round("max_similarity", 6)).select(*SCAN_COLUMNS, "topk_threat_ids")
 
 
@@ -270,16 +271,16 @@ _SCAN = """SELECT 'post:' || owner AS node_id, 'post' AS node_type, CASE WHEN ow
 ORACLES = {
     "scan_contrast": SCORED_SQL + ", w AS (SELECT *, vec_id // 5 AS owner, vec_id % 5 AS i, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY score DESC, vec_id) AS r, count(*) OVER (PARTITION BY vec_id // 5) AS num_chunks FROM scored) "
     + _SCAN.replace("NEAREST", "CASE WHEN score >= 0 THEN 'malicious' ELSE 'benign' END AS nearest_threat_id, CASE WHEN score >= 0 THEN 'malicious' ELSE 'benign' END AS nearest_category") + " FROM w JOIN documents ON doc_id = owner WHERE r = 1",
-    "scan_example": UNIT_SQL + """, k AS (SELECT a.vec_id, 'seed:' || b.vec_id AS threat_id, b.label, list_inner_product(a.u, b.u) AS s FROM u a, u b WHERE b.vec_id % 10 = 3),
+    "scan_example": UNIT_SQL + """, k AS (SELECT a.vec_id, 'seed:' || b.vec_id AS threat_id, b.label, list_inner_product(a.u, b.u) AS s FROM u a, u b WHERE b.label IN (3, 4, 5) AND a.label NOT IN (3, 4, 5)),
         t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, threat_id) AS n FROM k), b AS (SELECT vec_id, max(s) AS score, '[' || string_agg('"' || threat_id || '"', ',' ORDER BY n) || ']' AS topk_threat_ids, arg_min(threat_id, n) AS tid, arg_min(label, n) AS label FROM t WHERE n <= 3 GROUP BY vec_id),
         w AS (SELECT *, vec_id // 5 AS owner, vec_id % 5 AS i, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY score DESC, vec_id) AS r, count(*) OVER (PARTITION BY vec_id // 5) AS num_chunks FROM b) """
-    + _SCAN.replace("NEAREST", "tid AS nearest_threat_id, CASE WHEN label = 1 THEN '' ELSE label::VARCHAR END AS nearest_category") + ", topk_threat_ids FROM w JOIN documents ON doc_id = owner WHERE r = 1",
+    + _SCAN.replace("NEAREST", "tid AS nearest_threat_id, CASE WHEN label = 4 THEN '' ELSE label::VARCHAR END AS nearest_category") + ", topk_threat_ids FROM w JOIN documents ON doc_id = owner WHERE r = 1",
     "contrast_flag_summary": SCORED_SQL + "SELECT label, count(*) AS n, count(*) FILTER (WHERE score >= 0) AS n_flagged FROM scored GROUP BY label",
     "centroids": UNIT_SQL + ", m AS (SELECT label, pos, avg(x) AS x, count(*) AS n FROM x GROUP BY ALL), z AS (SELECT label, sqrt(sum(x * x)) AS z FROM m GROUP BY label) SELECT label, n, pos::BIGINT AS pos, round(x / z, 6) AS x FROM m JOIN z USING (label)",
     "contrast_scores": SCORED_SQL + "SELECT vec_id, round(sim_malicious, 6) AS sim_malicious, round(sim_benign, 6) AS sim_benign, round(score, 6) AS score, CASE WHEN round(score, 6) >= 0 THEN 'malicious' ELSE 'benign' END AS nearest FROM scored",
     "contrast_max_chunk": SCORED_SQL + "SELECT owner, round(score, 6) AS max_similarity, i AS trigger_chunk_index, round(sim_malicious, 6) AS sim_malicious, num_chunks FROM (SELECT vec_id // 5 AS owner, vec_id % 5 AS i, score, sim_malicious, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY score DESC, vec_id) AS r, count(*) OVER (PARTITION BY vec_id // 5) AS num_chunks FROM scored) WHERE r = 1",
     "doc_vector_mean_pool": UNIT_SQL + ", m AS (SELECT vec_id // 5 AS owner, pos, avg(x) AS x, count(*) AS n FROM x GROUP BY ALL), z AS (SELECT owner, sqrt(sum(x * x)) AS z, max(n) AS num_chunks, max(x) FILTER (WHERE pos = 0) AS a, max(x) FILTER (WHERE pos = 63) AS b FROM m GROUP BY owner) SELECT owner, num_chunks, round(a / z, 6) AS x0, round(b / z, 6) AS x63 FROM z",
-    "vector_topk": UNIT_SQL + "SELECT vec_id, r AS rank, ref_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, ref_id) AS r FROM (SELECT a.vec_id, b.vec_id AS ref_id, list_inner_product(a.u, b.u) AS s FROM u a, u b WHERE b.vec_id % 10 = 0)) WHERE r <= 5",
+    "vector_topk": UNIT_SQL + "SELECT vec_id, r AS rank, ref_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, ref_id) AS r FROM (SELECT a.vec_id, b.vec_id AS ref_id, list_inner_product(a.u, b.u) AS s FROM u a, u b WHERE b.label IN (3, 4, 5))) WHERE r <= 5",
     "cluster_profile": UNIT_SQL + """, m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT label, list(x ORDER BY pos) AS c FROM m GROUP BY label),
         s AS (SELECT vec_id, label, (vec_id % 3)::VARCHAR AS category, round(list_inner_product(u, c) / sqrt(list_inner_product(c, c)), 6) AS s FROM u JOIN c USING (label)),
         k AS (SELECT label, category, count(*) AS n FROM s GROUP BY ALL)
