@@ -64,7 +64,7 @@ def test_contracts(spark):
     assert not p.agg(contracts.probabilities_ok(p, "p").alias("ok")).first().ok and p.limit(1).agg(contracts.probabilities_ok(p, "p").alias("ok")).first().ok
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     df = spark.createDataFrame([(1, 0, 0, [1.0, 0.0]), (1, 1, 0, [1.0, 0.0]), (2, 0, 3, [0.0, 2.0]), (3, 0, 0, [0.0, 0.0])], "owner int, chunk_index long, label int, v array<float>")
     protos = V.contrast_prototypes(df, "label", "v", [3], [0])
     scored = V.contrast_scores(df, "v", protos)
@@ -72,8 +72,11 @@ def test_vectors(spark):
     assert best[1].trigger_chunk_index == 0 and best[1].num_chunks == 2 and best[1].max_similarity == -1 and best[2].max_similarity == 1 and best[3].max_similarity == 0
     assert spark.range(1).select(V.nearest_label(F.lit(0.0)).alias("x")).first().x == "malicious"
     queries, refs = df.select("owner", "v").filter("owner > 1"), spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(9)], "ref int, v array<float>")
-    plain = sorted(tuple(r) for r in V.top_k(queries, "owner", refs, "ref", "v", 4).collect())
-    assert plain == sorted(tuple(r) for r in V.top_k(queries, "owner", refs, "ref", "v", 4, blocks=3).collect()) and len(plain) == 8
+    ranked = lambda **o: [(r.owner, r["rank"], r.ref, round(r.similarity, 9)) for r in V.top_k(queries, "owner", refs, "ref", "v", 4, **o).collect()]
+    native = sorted(ranked())
+    assert len(native) == 8 and sorted(ranked(block_rows=8)) == native and sorted(ranked(block_rows=2)) == native
+    monkeypatch.setattr(V, "NATIVE_ROWS", 0)
+    assert sorted(ranked()) == native
     profile = {r.c: r for r in V.cluster_profile(spark.createDataFrame([(0, "b", "t1", 0.5, 1), (0, "a", "t2", 0.9, 2)], "c int, cat string, t string, s double, k int"), "c", "cat", "t", "s", "k", 2).collect()}
     assert (profile[0]["size"], profile[0].category, profile[0].rep_text) == (2, "a", "t2") and (profile[1]["size"], profile[1].category) == (0, "")
 

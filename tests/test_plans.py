@@ -25,7 +25,7 @@ def test_filters_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*turn", plan(spark, "node_compose"))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - {"kmeans_cosine", "head_logreg"}))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - {"kmeans_cosine", "head_logreg", "vector_topk", "scan_example"}))
 def test_no_python_and_no_cartesian_product(spark, name):
     text = plan(spark, name)
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", text)
