@@ -96,20 +96,41 @@ def host_verdicts(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFr
     return hosts.crossJoin(F.broadcast(prior)).select("host_key", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > host_limit).alias("host_failed"))
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT, whole_row: bool = False) -> DataFrame:
+def _host_key() -> Column:
+    return F.coalesce(F.concat(F.lit("0"), F.col("host")), F.lit("1"))
+
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """The measures of every row, its host's shrunk rate and ``kept``. A null host is a host of its own; an empty table gives an empty result."""
-    key = F.coalesce(F.concat(F.lit("0"), F.col("host")), F.lit("1"))
     salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
-    measured = measure(docs, id_col=id_col, text_col=text_col, host_col=host_col, whole_row=whole_row)
-    measured = stage(measured.withColumns({"host_key": key, "salt": salt}), "quality")
+    measured = measure(docs, id_col=id_col, text_col=text_col, host_col=host_col)
+    measured = stage(measured.withColumns({"host_key": _host_key(), "salt": salt}), "quality")
     verdicts = host_verdicts(measured, host_limit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = measured.join(verdicts, ["host_key", "salt"])
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("host_key", "salt")
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that pass, columns unchanged."""
-    return judge(docs, whole_row=True, **options).filter("kept").select("row.*")
+#: So many failed hosts at most are broadcast to where the rows are; more are joined by shuffle.
+BROADCAST_HOSTS = 10_000
+
+
+def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that pass, columns unchanged.
+
+    A row's own verdict is computed where the row is, and of the hosts only
+    those that failed are looked up, so whole rows are neither staged nor - while
+    failed hosts are few, which is counted - shuffled. Measuring twice costs less
+    than moving the texts.
+    """
+    named = {"id_col": id_col, "text_col": text_col, "host_col": host_col}
+    measured = stage(measure(docs, **named).select(_host_key().alias("host_key"), "base_failed"), "quality")
+    failed = stage(host_verdicts(measured, host_limit).filter("host_failed").select("host_key"), "failed-hosts")
+    # A row number is no function of its row, so the filter that mentions it stays above the measures. Pushed below
+    # them it would be written out with every measure at every mention, more than planning can bear.
+    rows = measure(docs, **named, whole_row=True).withColumn("number", F.monotonically_increasing_id())
+    rows = rows.filter((F.col("number") >= 0) & ~F.col("base_failed")).select("row", _host_key().alias("host_key"))
+    failed = F.broadcast(failed) if failed.count() <= BROADCAST_HOSTS else failed
+    return rows.join(failed, "host_key", "left_anti").select("row.*")
 
 
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
