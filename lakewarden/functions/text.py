@@ -31,7 +31,9 @@ def first_integer(candidates: Sequence[Column], default: Column | None = None) -
 
 
 def mask_emails(text: Column, placeholder: str = "@") -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), EMAIL, placeholder)
+    """E-mail addresses replaced, null as empty. Only a text with an at sign is searched: the pattern walks back over every word."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.contains("@"), F.regexp_replace(text, EMAIL, placeholder)).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
