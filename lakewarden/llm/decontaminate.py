@@ -13,7 +13,6 @@ the pair test is a bitmap lookup and never misses a pair.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
