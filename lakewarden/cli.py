@@ -26,6 +26,7 @@ import argparse
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from lakewarden.operators import chunks, judge, language, metrics, models, nodes, report, sampling, scan, vectors as V
 from lakewarden.sources import readers, sinks
@@ -66,7 +67,7 @@ def language_filter(spark: SparkSession, a: argparse.Namespace) -> None:
 def judge_sample(spark: SparkSession, a: argparse.Namespace) -> None:
     df = spark.read.parquet(a.nodes).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
     drawn = sampling.simple(df, "node_id", a.n, a.seed)
-    place = F.row_number().over(sampling.Window.orderBy(sampling.draw(a.seed, "node_id"), "node_id"))
+    place = F.row_number().over(Window.orderBy(sampling.draw(a.seed, "node_id"), "node_id"))
     sinks.csv(drawn.withColumns({"example_num": place, "is_truncated": F.lit(False)}), a.out, ["example_num", "node_id", "node_type", "title", "text", "is_truncated"], a.overwrite, single=True)
 
 
