@@ -5,11 +5,12 @@ similarity of 0.8. There, 64-bit fingerprints differ in 10 bits in the median
 (measured on the test tables), and a ball of half that radius has more than
 eight million variants, so ball hashing alone cannot find them.
 
-Candidates share a band of MinHash values. Within a band's group, members stand
-in an order of hashes of their own; each meets the ``NEXT`` members after it and
-the first one. Groups of up to ``NEXT`` + 1 members so meet in full; larger ones
-get links in proportion to their size, in a different order in each of the
-bands. Every candidate link is verified on the whole shingle sets.
+Candidates share a band of MinHash values. Every member of a band's group meets
+the ``PIVOTS`` members that collide most over all bands - copies of one text
+look more like it than like each other, and it collides most - and the ``NEXT``
+members after it in an order that differs from band to band. Groups of up to
+``PIVOTS`` + 1 members so meet in full, larger ones get links in proportion to
+their size. Every candidate link is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from lakewarden.llm.scratch import stage
 from lakewarden.llm.shingles import shingle_hashes
 
 BANDS, ROWS = 24, 5
-NEXT = 4
+PIVOTS, NEXT = 4, 3
 SEED = 7
 CHUNK = 1024
 
@@ -58,9 +59,15 @@ def band_keys(hashes: list[np.ndarray]) -> list[np.ndarray]:
 def candidates(sketched: DataFrame) -> DataFrame:
     """Pairs (src, dst) of ``sketched`` (node long, unique; keys) that meet in a band, staged."""
     banded = sketched.select("node", F.explode("keys").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = stage(banded.join(sizes, "key"), "similar-bands")
     order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
-    met = F.array(F.first("node").over(order), *[F.lag("node", k).over(order) for k in range(1, NEXT + 1)])
-    pairs = banded.select("node", met.alias("met")).select("node", F.explode("met").alias("other")).filter("other is not null and other != node")
+    after = met.select("node", F.array(*[F.lag("node", k).over(order) for k in range(1, NEXT + 1)]).alias("others"))
+    pairs = after.select("node", F.explode("others").alias("other")).filter("other is not null")
+    ranked = met.join(met.groupBy("node").agg(F.sum("size").alias("degree")), "node")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("degree").desc(), "node"))
+    pivots = ranked.withColumn("place", place).filter(F.col("place") <= PIVOTS).select("key", F.col("node").alias("other"))
+    pairs = pairs.union(met.join(pivots, "key").select("node", "other").filter("node != other"))
     return stage(pairs.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct(), "similar-pairs")
 
 
