@@ -32,7 +32,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers in either of two generations.
 REMEMBERED = 250_000
 #: Bytes of text encoded at a time (a longer text goes by itself).
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 10 << 20
 #: A run of Latin letters and a run of ASCII marks but the apostrophe, which can begin a contraction.
 WORD_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 _loaded: dict[str, PieceEncoder] = {}
@@ -113,12 +113,17 @@ class PieceEncoder:
         number, first = coded.indices.to_numpy(), np.zeros(len(coded), bool)
         first[starts] = True
         ids = [i or b"" for i in self._pieces(coded.dictionary.to_pylist())]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        # A slice has fewer than 2**31 ids; half as wide numbers halve what is held at a time.
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         unknown = sizes == 0
-        at, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), np.uint32)
-        sizes = np.where(first, 0, sizes[number])
-        before = np.concatenate(([0], np.cumsum(sizes)))
-        gathered = flat[np.repeat(at[number] - before[:-1], sizes) + np.arange(before[-1])]
+        at, flat = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(ids), np.uint32)
+        sizes = sizes[number]
+        sizes[first] = 0
+        before = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=before[1:])
+        places = np.repeat(at[number] - before[:-1], sizes)
+        places += np.arange(before[-1], dtype=np.int32)
+        gathered = flat[places]
         heads = split.values.take(pa.array(starts)).to_pylist()
         whole = np.zeros(len(texts), bool)
         whole[np.searchsorted(starts, np.flatnonzero(unknown[number] & ~first), "right") - 1] = True
