@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from lakewarden.llm.blocks import text_bytes
 from lakewarden.llm.scratch import discard, stage
 from lakewarden.llm.shingles import SEED, shingle_hashes
-from lakewarden.llm.similarity import band_keys, candidates, verified
+from lakewarden.llm.similarity import PIVOTS, alike, band_groups, band_keys, first_pairs, group_links, shingle_sets
 from lakewarden.sources.tables import table
 
 BITS = 64
@@ -176,11 +176,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = star_links(stage(possible_neighbours(classes.select("fp")), "neighbours"))
     if similarity is not None:
         first = rows.join(classes.select("fp", F.col("least_id").alias("doc_id")), ["fp", "doc_id"])
-        pairs = candidates(first.groupBy(F.col("fp").alias("node")).agg(F.min("keys").alias("keys")))
-        involved = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct().join(classes.select("fp", "least_id"), "fp")
+        met = band_groups(first.groupBy(F.col("fp").alias("node")).agg(F.min("keys").alias("keys")))
+        involved = met.select(F.col("node").alias("fp")).distinct().join(classes.select("fp", "least_id"), "fp")
         named = docs.select(F.col(id_col).alias("least_id"), F.col(text_col).cast("string").alias("text"))
-        texts = named.join(involved, "least_id").select(F.col("fp").alias("node"), "text")
-        links = links.union(verified(pairs, texts, width=width, similarity=similarity))
+        sets = shingle_sets(named.join(involved, "least_id").select(F.col("fp").alias("node"), "text"), width)
+        known = components(links.union(alike(first_pairs(met), sets, similarity)))
+        links = known.filter("node != root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
+        links = links.union(group_links(met.filter(F.col("size") > PIVOTS + 1).select("key", "node"), known, sets, similarity))
     roots = components(links).withColumnRenamed("node", "fp")
     grouped = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -56,6 +56,55 @@ def test_similar_links(spark):
     assert groups(got) == groups(want)
 
 
+def test_template_family_meets_in_full(spark):
+    """Documents that share most shingles fill groups of every band; only the planted pairs are alike enough."""
+    dice = random.Random(3)
+    new = lambda n: [f"x{dice.getrandbits(40)}" for _ in range(n)]
+    template, texts = new(784), []
+    for _ in range(150):
+        own = new(16)
+        texts += [" ".join([*template, *own, *new(90)]) for _ in range(2)]
+    hashes = [np.unique(shingle_hashes(t.encode(), 5)) for t in texts]
+    common = similarity.common_counts(hashes, hashes)
+    whole = [set(x.tolist()) for x in hashes]
+    assert common.tolist() == [[len(x & y) for y in whole] for x in whole]
+    n = common.diagonal()
+    met = common >= (n[:, None] + n - common) * 0.8
+    assert all(met[i, j] == (i // 2 == j // 2) for i in range(len(texts)) for j in range(len(texts)))
+    keys = [k.tolist() for k in similarity.band_keys(hashes)]
+    pairs = {(k, k + 1) for k in range(0, len(texts), 2) if set(keys[k]) & set(keys[k + 1])}
+    assert len(pairs) > 145
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    groups = similarity.band_groups(spark.createDataFrame(list(enumerate(keys)), "node long, keys array<long>"))
+    sets = similarity.shingle_sets(frame, 5)
+    first = similarity.alike(similarity.first_pairs(groups), sets, 0.8)
+    rest = similarity.group_links(groups.select("key", "node"), simhash.components(first), sets, 0.8)
+    at_first = {(r.src, r.dst) for r in first.collect()}
+    assert at_first < pairs
+    assert at_first | {(min(r), max(r)) for r in rest.collect()} == pairs
+
+
+def test_group_links_over_blocks(spark, monkeypatch):
+    dice = random.Random(8)
+    monkeypatch.setattr(similarity, "BLOCK_SHINGLES", 1500)
+    sets = [sorted(dice.sample(range(40), dice.choice([30, 34, 36]))) for _ in range(60)] + [[]]
+    frame = spark.createDataFrame([(i, len(x), x) for i, x in enumerate(sets)], "node long, n int, shingles array<long>")
+    groups = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(len(sets))], "key long, node long")
+    roots = spark.createDataFrame([(i, 3) for i in (3, 7, 11)], "node long, root long")
+    links = [(r.src, r.dst) for r in similarity.group_links(groups, roots, frame, 0.8).collect()]
+    top = {i: 3 if i in (7, 11) else i for i in range(len(sets))}
+    want = [(top[i], top[j]) for j in range(len(sets)) for i in range(j) if sets[i] and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+
+    def closure(pairs):
+        root = dict(top)
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+        return root
+
+    assert closure(links) == closure(want)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
