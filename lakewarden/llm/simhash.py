@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -68,20 +69,35 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, sketch: bool = False) -> DataFrame:
-    """(doc_id, fp) for every row, with ``sketch`` also the band keys of ``similarity``; null and wordless texts have fingerprint 0."""
+    """(doc_id, fp) for every row; null and wordless texts have fingerprint 0.
+
+    With ``sketch`` also ``mark``, a hash of the text, ``node``, a hash of its
+    set of shingles, and the band keys of ``similarity``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, keys = [], []
+            found, nodes, keys = [], [], []
             for text in text_bytes(batch.column(1)):
                 hashes = shingle_hashes(text, width, seed)
                 found.append(simhash(hashes))
-                keys += band_keys([hashes]) if sketch else []
-            more = [pa.array(keys, pa.list_(pa.int64()))] if sketch else []
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64()), *more], names=["doc_id", "fp", "keys"][: 2 + sketch])
+                if sketch:
+                    nodes.append(set_hash(hashes))
+                    keys += band_keys([hashes])
+            more = [batch.column(2), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))] if sketch else []
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64()), *more], names=["doc_id", "fp", "mark", "node", "keys"][: 2 + 3 * sketch])
+
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[text_mark(text_col)] * sketch)
+    return named.mapInArrow(run, "doc_id long, fp long" + ", mark long, node long, keys array<long>" * sketch)
+
 
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, fp long" + ", keys array<long>" * sketch)
+def text_mark(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string")).alias("mark")
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    """A signed long of the set of ``hashes``, the same for texts of the same shingles."""
+    return signed(xxhash.xxh64_intdigest(np.unique(hashes).tobytes()))
 
 
 def spread(df: DataFrame, column: str) -> DataFrame:
@@ -160,6 +176,23 @@ def components(links: DataFrame) -> DataFrame:
         before = mark
 
 
+def similar_links(docs: DataFrame, rows: DataFrame, *, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Links (src, dst) between nodes of ``rows`` (``fingerprints`` with ``sketch``): of near fingerprints and of similar shingle sets."""
+    marks = rows.groupBy("node").agg(F.min("mark").alias("mark"), F.min("keys").alias("keys"))
+    met = band_groups(marks.select("node", "keys"))
+    involved = met.select("node").distinct().join(marks.select("node", "mark"), "node")
+    texts = docs.select(text_mark(text_col), F.col(text_col).cast("string").alias("text")).join(involved, "mark")
+    sets = shingle_sets(texts.groupBy("node").agg(F.first("text").alias("text")), width)
+    held = stage(rows.select("fp", "node").distinct(), "held")
+    firsts = stage(held.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    stars = star_links(stage(possible_neighbours(firsts.select("fp")), "neighbours"))
+    stars = stars.join(firsts.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(firsts.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
+    links = stars.select("a", "b").union(held.join(firsts, "fp").select("first", "node")).filter("a != b").toDF("src", "dst")
+    known = components(links.union(alike(first_pairs(met), sets, similarity)))
+    links = known.filter("node != root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
+    return links.union(group_links(met.filter(F.col("size") > PIVOTS + 1).select("key", "node"), known, sets, similarity))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -168,33 +201,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeated rows stay; a null doc_id is never the smallest; an empty table
     gives an empty result; other columns are ignored.
 
-    With ``similarity``, fingerprints are also linked if the shingle sets of
-    their first documents are that much alike (see ``similarity``).
+    With ``similarity``, texts are also linked if their shingle sets are that
+    much alike (see ``similarity``); there one node stands for all texts of the
+    same set.
     """
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed, sketch=similarity is not None), "fingerprints")
-    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "classes")
-    links = star_links(stage(possible_neighbours(classes.select("fp")), "neighbours"))
-    if similarity is not None:
-        first = rows.join(classes.select("fp", F.col("least_id").alias("doc_id")), ["fp", "doc_id"])
-        met = band_groups(first.groupBy(F.col("fp").alias("node")).agg(F.min("keys").alias("keys")))
-        involved = met.select(F.col("node").alias("fp")).distinct().join(classes.select("fp", "least_id"), "fp")
-        named = docs.select(F.col(id_col).alias("least_id"), F.col(text_col).cast("string").alias("text"))
-        sets = shingle_sets(named.join(involved, "least_id").select(F.col("fp").alias("node"), "text"), width)
-        known = components(links.union(alike(first_pairs(met), sets, similarity)))
-        links = known.filter("node != root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
-        links = links.union(group_links(met.filter(F.col("size") > PIVOTS + 1).select("key", "node"), known, sets, similarity))
-    roots = components(links).withColumnRenamed("node", "fp")
-    grouped = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    unit = "fp" if similarity is None else "node"
+    classes = stage(rows.groupBy(unit).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "classes")
+    if similarity is None:
+        links = star_links(stage(possible_neighbours(classes.select("fp")), "neighbours"))
+    else:
+        links = similar_links(docs, rows, text_col=text_col, width=width, similarity=similarity)
+    roots = components(links).withColumnRenamed("node", unit)
+    grouped = classes.join(roots, unit, "left").withColumn("root", F.coalesce("root", unit))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     # Only classes with a link need the second join; the rest answer for themselves.
-    linked = grouped.join(roots.select("fp"), "fp", "left_semi").join(least, "root").select("fp", "component_id")
-    ids = classes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least_id").alias("component_id"))
-    # A fingerprint may hold a third of all rows. Those of more than one row in HOT number fewer than HOT and are
+    linked = grouped.join(roots.select(unit), unit, "left_semi").join(least, "root").select(unit, "component_id")
+    ids = classes.join(linked, unit, "left").select(unit, "copies", F.coalesce("component_id", "least_id").alias("component_id"))
+    # A fingerprint or set may hold a third of all rows. Those of more than one row in HOT number fewer than HOT and are
     # broadcast, so that their rows stay where they are; the others meet in an ordinary join.
     least = rows.count() / HOT
     hot, others = F.broadcast(ids.filter(F.col("copies") > least).drop("copies")), ids.filter(F.col("copies") <= least).drop("copies")
-    rows = rows.select("doc_id", "fp")
-    return rows.join(hot, "fp").union(rows.join(hot.select("fp"), "fp", "left_anti").join(others, "fp"))
+    rows = rows.select("doc_id", "fp", *[unit] * (unit != "fp"))
+    return rows.join(hot, unit).union(rows.join(hot.select(unit), unit, "left_anti").join(others, unit)).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -100,3 +100,30 @@ def test_similarity_and_clashing_columns(spark):
     assert out == {0: 0, 1: 0, 2: 2, 3: 3}
     assert simhash.drop_near_duplicates(frame, width=5, similarity=0.8).columns == frame.columns
     assert simhash.near_duplicates(frame.limit(0), width=5, similarity=0.8).count() == 0
+
+
+def test_similarity_of_other_texts_of_a_fingerprint_and_of_null_ids(spark):
+    dice = random.Random(12)
+    words = [f"w{dice.randrange(9999)}" for _ in range(300)]
+    near = [*words[:297], "n1", "n2", "n3"]
+    other, copy = " ".join(words), " ".join(near)
+    rows = [(None, other, "en", "s", 0), (5, copy, "en", "s", 0), (None, None, "en", "s", 0)]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=5, similarity=0.8).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in out) == [(-1, -1), (-1, 5), (5, 5)]
+    # a: one edit from b, which has its fingerprint; c: similar to b only
+    while True:
+        a = [f"w{dice.getrandbits(30)}" for _ in range(300)]
+        b = list(a)
+        b[dice.randrange(20, 280)] = f"n{dice.getrandbits(30)}"
+        if simhash.fingerprint(" ".join(a).encode(), 5) == simhash.fingerprint(" ".join(b).encode(), 5):
+            break
+    sets = lambda w: set(simhash.shingle_hashes(" ".join(w).encode(), 5).tolist())
+    alike = lambda x, y: len(sets(x) & sets(y)) >= 0.8 * len(sets(x) | sets(y))
+    c, at = list(b), 0
+    while alike(a, c):
+        c[at] = f"m{dice.getrandbits(30)}"
+        at += 1
+    texts = [" ".join(x) for x in (a, b, c)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, width=5, similarity=0.8).collect()}
+    assert alike(b, c) and out == {0: 0, 1: 0, 2: 0}
