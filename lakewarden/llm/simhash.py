@@ -177,20 +177,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, *, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Links (src, dst) between nodes of ``rows`` (``fingerprints`` with ``sketch``): of near fingerprints and of similar shingle sets."""
+    """Links (src, dst) between nodes of ``rows`` (``fingerprints`` with ``sketch``) whose shingle sets are ``similarity`` alike.
+
+    Near and equal fingerprints are candidates like shared bands: each component of near fingerprints is a group
+    whose members meet in full unless they are linked already.
+    """
     marks = rows.groupBy("node").agg(F.min("mark").alias("mark"), F.min("keys").alias("keys"))
     met = band_groups(marks.select("node", "keys"))
-    involved = met.select("node").distinct().join(marks.select("node", "mark"), "node")
+    held = stage(rows.select("fp", "node").distinct(), "held")
+    near = components(star_links(stage(possible_neighbours(held.select("fp").distinct()), "neighbours"))).withColumnRenamed("node", "fp")
+    near = held.join(near, "fp", "left").select(F.coalesce("root", "fp").alias("key"), "node").distinct()
+    near = stage(near.join(near.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key").select("key", "node"), "near")
+    involved = met.select("node").union(near.select("node")).distinct().join(marks.select("node", "mark"), "node")
     texts = docs.select(text_mark(text_col), F.col(text_col).cast("string").alias("text")).join(involved, "mark")
     sets = shingle_sets(texts.groupBy("node").agg(F.first("text").alias("text")), width)
-    held = stage(rows.select("fp", "node").distinct(), "held")
-    firsts = stage(held.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
-    stars = star_links(stage(possible_neighbours(firsts.select("fp")), "neighbours"))
-    stars = stars.join(firsts.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(firsts.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
-    links = stars.select("a", "b").union(held.join(firsts, "fp").select("first", "node")).filter("a != b").toDF("src", "dst")
-    known = components(links.union(alike(first_pairs(met), sets, similarity)))
+    known = components(alike(first_pairs(met), sets, similarity))
+    groups = met.filter(F.col("size") > PIVOTS + 1).select("key", "node").union(near)
     links = known.filter("node != root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
-    return links.union(group_links(met.filter(F.col("size") > PIVOTS + 1).select("key", "node"), known, sets, similarity))
+    return links.union(group_links(groups, known, sets, similarity))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, similarity: float | None = None) -> DataFrame:
@@ -201,9 +205,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeated rows stay; a null doc_id is never the smallest; an empty table
     gives an empty result; other columns are ignored.
 
-    With ``similarity``, texts are also linked if their shingle sets are that
-    much alike (see ``similarity``); there one node stands for all texts of the
-    same set.
+    With ``similarity``, near fingerprints are only candidates, beside those of
+    ``similarity``: texts are linked if their shingle sets are that much alike.
+    There one node stands for all texts of the same set.
     """
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed, sketch=similarity is not None), "fingerprints")
     unit = "fp" if similarity is None else "node"

@@ -82,6 +82,14 @@ def test_template_family_meets_in_full(spark):
     at_first = {(r.src, r.dst) for r in first.collect()}
     assert at_first < pairs
     assert at_first | {(min(r), max(r)) for r in rest.collect()} == pairs
+    # near fingerprints are no links: none but the planted pairs are one document
+    docs = frame.withColumnRenamed("node", "doc_id")
+    fps = [simhash.fingerprint(t.encode(), 5) % 2**64 for t in texts]
+    near = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    assert near - pairs
+    roots = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=5, similarity=0.8).collect()}
+    alone = {(k, k + 1) for k in range(0, len(texts), 2)} - pairs - near
+    assert roots == {i: i if (i // 2 * 2, i // 2 * 2 + 1) in alone else i // 2 * 2 for i in range(len(texts))}
 
 
 def test_group_links_over_blocks(spark, monkeypatch):
