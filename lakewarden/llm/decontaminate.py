@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakewarden.llm.automaton import SuffixAutomaton
 from lakewarden.llm.blocks import text_bytes
-from lakewarden.llm.scratch import stage
+from lakewarden.llm.scratch import discard, stage
 from lakewarden.sources.tables import table
 
 WINDOW = 10
@@ -33,6 +34,8 @@ BLOCK_WORDS = 2_000_000
 #: A document goes as a whole if more than this share of its words is hit.
 COVERAGE_LIMIT = 0.5
 PAIR_BITS = 22
+#: States of a document between rounds of cutting.
+DONE, OPEN, GONE = 0, 1, 2
 
 #: Bytes of a word: 0-9, a-z after lower-casing, everything beyond ASCII; others part words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -179,31 +182,69 @@ def _by_blocks(named: DataFrame, blocks: Iterable, window: int, fields: str) ->
     return _per_text(rows.drop("_text").withColumnRenamed("spans", "_spans"), "_spans", [], _united, "spans array<long>").select("doc_id", "n_words", "spans", "items")
 
 
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans and what stands between them."""
+    places = [m.span() for m in WORD.finditer(text.translate(FOLD))]
+    pieces, at = [], 0
+    for a, b in spans:
+        pieces.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*pieces, text[at:]])
+
+
 def _cut(text: bytes | None, matchers: list[Matcher], limit: float) -> tuple[bytes | None, int]:
     """The text without its hit spans, 1 if the document stays. Cutting can bring words together, so it is done until nothing is hit."""
     if text is None:
         return None, 1
     total = hit = 0
     while True:
-        folded = text.translate(FOLD)
-        places = None
-        spans = []
-        words = folded.split()
-        for m in matchers:
-            spans += m.find(words)[0]
-        spans = _merge(spans)
+        words = words_of(text)
+        spans = _merge([span for m in matchers for span in m.find(words)[0]])
         total = total or len(words)
         if not spans:
             return text, 1
         hit += sum(b - a for a, b in spans)
         if hit > limit * total:
             return text, 0
-        places = [m.span() for m in WORD.finditer(folded)]
-        pieces, at = [], 0
-        for a, b in spans:
-            pieces.append(text[at : places[a][0]])
-            at = places[b - 1][1]
-        text = b"".join([*pieces, text[at:]])
+        text = _without(text, spans)
+
+
+def _cut_once(row: dict, limit: float) -> tuple[bytes | None, int, int, int]:
+    """One round of ``_cut`` with the spans of all blocks: text, words at first, words hit so far, and OPEN if cut, DONE if not hit, GONE."""
+    text, total, hit = row["text"], row["total"], row["hit"]
+    spans = _merge(list(zip(row["spans"][::2], row["spans"][1::2])))
+    if text is None or not spans:
+        return text, total, hit, DONE
+    text = bytes(text)
+    total = total or len(words_of(text))
+    hit += sum(b - a for a, b in spans)
+    return (text, total, hit, GONE) if hit > limit * total else (_without(text, spans), total, hit, OPEN)
+
+
+def _cut_by_blocks(docs: DataFrame, read_blocks: Callable[[], Iterable], text_col: str, window: int, limit: float) -> DataFrame:
+    """As with one automaton: each round unites the spans of all blocks and cuts once; documents that were cut come again until nothing is hit."""
+    spark, own = docs.sparkSession, docs.columns
+    none = F.array().cast("array<long>")
+    rows = docs.withColumns({"_total": F.lit(0).cast("long"), "_hit": F.lit(0).cast("long")})
+    done, staged = [], False
+    while True:
+        rows = rows.withColumn("_spans", none)
+        for block in read_blocks():
+            shared = spark.sparkContext.broadcast(Matcher.build(block, window))
+            found = _per_text(rows.withColumn("_search", F.col(text_col)), "_search", [shared], lambda t, m: (_search(t, m)[1],), "_more array<long>")
+            after = stage(found.withColumn("_spans", F.concat("_spans", "_more")).drop("_more"), "cut-spans")
+            shared.destroy()
+            if staged:
+                discard(rows)
+            rows, staged = after, True
+        state = F.struct(F.col(text_col).cast("binary").alias("text"), F.col("_total").alias("total"), F.col("_hit").alias("hit"), F.col("_spans").alias("spans"))
+        cut = _per_text(rows.withColumn("_row", state).drop(text_col, "_total", "_hit", "_spans"), "_row", [], lambda r, _: _cut_once(r, limit), "_after binary, _total long, _hit long, _state long")
+        after = stage(cut.withColumn(text_col, F.col("_after").cast("string")).drop("_after"), "cut")
+        discard(rows)
+        done.append(after.filter(F.col("_state") == DONE).select(*own))
+        rows, staged = after.filter(F.col("_state") == OPEN).select(*own, "_total", "_hit"), False
+        if rows.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", length_col: str | None = None, window: int = WINDOW, coverage_limit: float = COVERAGE_LIMIT, item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -212,12 +253,21 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     ``length_col``, if named, gets the new length of texts that were cut.
     """
     spark, own = docs.sparkSession, docs.columns
-    for block in item_blocks(benchmark, id_col=item_col, text_col=item_text_col, block_words=block_words):
-        shared = spark.sparkContext.broadcast(Matcher.build(block, window))
+
+    def read_blocks() -> Iterator:
+        return item_blocks(benchmark, id_col=item_col, text_col=item_text_col, block_words=block_words)
+
+    blocks = read_blocks()
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast(Matcher.build(first, window))
         docs = _per_text(docs.withColumn("_before", F.col(text_col)).drop(text_col), "_before", [shared], lambda t, m: _cut(t, m, coverage_limit), "_after binary, _stays long")
         docs = docs.filter("_stays = 1").drop("_stays").withColumnRenamed("_after", text_col).withColumn(text_col, F.col(text_col).cast("string"))
-        if length_col:
-            docs = docs.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.char_length(text_col)).cast("long"))
+    else:
+        first = second = None
+        docs = _cut_by_blocks(docs.withColumn(text_col, F.col(text_col).cast("string")), read_blocks, text_col, window, coverage_limit)
+    if length_col:
+        docs = docs.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.char_length(text_col)).cast("long"))
     return docs.select(*own)
 
 

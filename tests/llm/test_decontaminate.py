@@ -87,3 +87,18 @@ def test_removal_leaves_no_window(spark):
             assert r.text == texts[r.doc_id]
     assert {r.doc_id for r in rows} >= {i for i, h in before.items() if not h}
     assert all(len(before[i]) > 0.5 * len(words(t)) for i, t in enumerate(texts) if i not in {r.doc_id for r in rows})
+
+
+def test_removal_by_blocks_is_that_of_one_block(spark):
+    docs, bench, _, _ = tables(spark)
+    item = lambda name: [f"{name}{k}" for k in range(10)]
+    plain = [f"q{k}" for k in range(100)]
+    names = "abcdefgh"
+    halves = [" ".join([*plain[:14], *item(x), *item(y)]) for x in names for y in names if x < y]
+    # cutting y brings the halves of x together
+    split = [" ".join([*plain, *item(x)[:5], *item(y), *item(x)[5:]]) for x in names for y in names if x != y]
+    more = spark.createDataFrame([(1000 + i, t, "en", "s", 0) for i, t in enumerate([*halves, *split])], SCHEMA)
+    items = spark.createDataFrame([(100 + i, " ".join(item(x))) for i, x in enumerate(names)], ITEMS)
+    for given, against in ((docs, bench.filter("length(text) > 25")), (more, items), (more, items.limit(0))):
+        want, got = ([tuple(r) for r in decontaminate.remove_contamination(given, against, length_col="n_chars", block_words=n).select(*docs.columns).collect()] for n in (10**6, 25))
+        assert sorted(got, key=repr) == sorted(want, key=repr)
