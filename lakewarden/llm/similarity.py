@@ -14,7 +14,8 @@ components of a larger group then meets in full as well: the group is cut into
 blocks of bounded size, and each two blocks that are not of one component
 together count all their common shingles by matrix products. So every pair that
 shares a band is verified or already in one component. A pair of blocks returns
-a spanning forest only, so no table grows with the number of pairs.
+a spanning forest only, so pairs are never written; a text is shuffled once for
+every block that its own meets.
 Every link is verified on the whole shingle sets.
 """
 
