@@ -18,7 +18,7 @@ the documents it is asked for.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from typing import BinaryIO
 
 import numpy as np
@@ -35,7 +35,8 @@ INDEX_HEAD = struct.Struct("<4sHHQ")
 FOOTER = struct.Struct("<IBI")
 ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 
-FRAME_BYTES = 1 << 20
+#: Plain bytes of a frame, so what a reader of one document decompresses at most beside the document.
+FRAME_BYTES = 1 << 16
 
 
 class TokenFileWriter:
@@ -45,20 +46,28 @@ class TokenFileWriter:
         self.out, self.width, self.frame_bytes = out, width, frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
-        self.pending: list[bytes] = []
+        self.pending: list[bytes | memoryview] = []
         self.held = 0
         self.entries: list[tuple[int, int, int]] = []
         self.docs: list[tuple[int | None, int, int, int]] = []
         self.total = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        raw = ids.astype(self.kind).tobytes()
-        if self.pending and self.held + len(raw) > self.frame_bytes:
-            self._flush()
-        self.docs.append((doc_id, self.total, len(ids), len(self.entries)))
-        self.pending.append(raw)
-        self.held += len(raw)
-        self.total += len(ids)
+        self.extend([doc_id], ids, np.array([len(ids)]))
+
+    def extend(self, doc_ids: Sequence[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents whose ids stand one after another."""
+        raw = memoryview(ids.astype(self.kind, copy=False)).cast("B")
+        at = 0
+        for doc_id, size in zip(doc_ids, sizes.tolist()):
+            length = size * self.width
+            if self.held and self.held + length > self.frame_bytes:
+                self._flush()
+            self.docs.append((doc_id, self.total, size, len(self.entries)))
+            self.pending.append(raw[at : at + length])
+            self.held += length
+            self.total += size
+            at += length
 
     def _frame(self, plain: bytes) -> None:
         packed = self.zstd.compress(plain)

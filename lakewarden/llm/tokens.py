@@ -8,11 +8,10 @@ a repeated task leaves the same file.
 
 from __future__ import annotations
 
+import codecs
 import os
-import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from lakewarden.llm import scratch
@@ -29,40 +28,72 @@ from lakewarden.sources.tables import table
 
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Words whose ids a worker remembers in either of two generations.
-REMEMBERED = 250_000
+#: Pieces whose ids a worker remembers, and the longest of them in bytes.
+REMEMBERED, LONGEST = 500_000, 64
 #: Bytes of text encoded at a time (a longer text goes by itself).
 SLICE_BYTES = 10 << 20
-#: A run of Latin letters and a run of ASCII marks but the apostrophe, which can begin a contraction.
-WORD_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Pieces that go to the tokenizer as one text.
+PIECES = 4096
 _loaded: dict[str, PieceEncoder] = {}
 
+# Kinds of bytes. OTHER parts nothing: only the tokenizer knows what it does beside its neighbours.
+LETTER, DIGIT, MARK, SPACE, LINE, OTHER, NONE = range(7)
+_KINDS = np.full(256, OTHER, np.uint8)
+_KINDS[0x21:0x7F] = MARK
+_KINDS[ord("0") : ord("9") + 1] = DIGIT
+_KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
+_KINDS[ord("'")] = OTHER  # can begin a contraction
+_KINDS[ord(" ")], _KINDS[ord("\n")] = SPACE, LINE
+
+
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte of UTF-8; both bytes of a Latin letter (U+00C0 to U+024F) are letters."""
+    kinds = _KINDS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    lead = lead[lead + 1 < len(data)]
+    first, second = data[lead], data[lead + 1]
+    # No letters: the signs for times and divided by, and what follows U+024F.
+    lead = lead[~((first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC9) & (second > 0x8F))]
+    kinds[lead] = kinds[lead + 1] = LETTER
+    return kinds
+
+
+def byte_letters() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from U+0100 on."""
+    prints = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    later = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in prints else chr(next(later)) for b in range(256))
+
 
 class PieceEncoder:
-    """Encodes texts with one tokenizer, remembering the ids of pieces between single spaces.
-
-    A byte-level BPE first parts a text where a space follows a character that
-    is no white space; what lies between two such spaces is therefore encoded
-    alike wherever it stands. Texts in which a space has white space or an end
-    of the text beside it, and texts with an added token, are encoded whole.
-    Texts are split and their pieces numbered by Arrow, each different piece is
-    encoded once, and ids are gathered by number. Words are remembered over
-    calls, in two generations, so that memory is bounded and frequent ones stay.
+    """Encodes texts with one byte-level BPE tokenizer, each different piece once.
+
+    The tokenizer first parts a text into runs of letters, digits or marks, each
+    with the space before it, and runs of white space; the ids of a run do not
+    depend on what is beside it. It always parts where white space follows
+    another character, so what lies between two such places can be encoded by
+    itself too. Runs are cut here from the kinds of all bytes at once; a stretch
+    with a byte of unknown kind is one piece, and so is a text with an added
+    token. Pieces are numbered by Arrow, new ones encoded - runs in one text a
+    few thousand, told apart by a delimiter, other pieces whole - and ids are
+    gathered by number. Pieces are remembered from slice to slice, at most
+    ``REMEMBERED`` and those of the last slice.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.runs = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.runs.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte-level tokens have a character a byte
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)
-        self.known: dict[str, bytes] = {}  # ids of a word after a space
-        self.old: dict[str, bytes] = {}
+        self.letters = "\n" + byte_letters()[1:]  # no run holds a zero byte, so it can be the delimiter
+        self.known, self.ids = pa.array([], pa.binary()), pa.array([], pa.binary())
 
     @classmethod
     def get(cls, path: str) -> PieceEncoder:
@@ -70,72 +101,106 @@ class PieceEncoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of many runs of letters after a space, from one encoding; the bytes of the tokens tell where each ends."""
-        found: list[bytes] = []
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in some), np.int64, len(some)))
-            cuts = (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1) * 4
-            raw = ids.tobytes()
-            found += [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+    def _cuts(self, data: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Where pieces begin in the texts that end at ``ends``; those marked ``whole`` are one piece each."""
+        kinds = byte_kinds(data)
+        before, after = np.empty_like(kinds), np.empty_like(kinds)
+        before[1:], after[:-1] = kinds[:-1], kinds[1:]
+        starts = np.concatenate(([0], ends[:-1]))
+        filled = ends > starts
+        before[starts[filled]] = after[ends[filled] - 1] = NONE
+        word, blank = kinds <= MARK, (kinds == SPACE) | (kinds == LINE)
+        after_word, after_blank = before <= MARK, (before == SPACE) | (before == LINE)
+        hard = blank & after_word | (before == NONE)
+        soft = word & after_word & (kinds != before) | word & (before == LINE) | blank & after_blank & (after <= MARK)
+        # Nothing is cut softly in a stretch with a byte of unknown kind or in a whole text, and the latter not at all.
+        places = np.flatnonzero(hard)
+        closed = np.logical_or.reduceat(kinds == OTHER, places) if len(places) else np.zeros(0, bool)
+        for a, b in zip(starts[whole & filled].tolist(), ends[whole & filled].tolist()):
+            inside = slice(*np.searchsorted(places, [a, b]))
+            closed[inside] = True
+            hard[a + 1 : b] = False
+        soft &= ~np.repeat(closed, np.diff(places, append=len(data)))
+        return np.flatnonzero(hard | soft)
+
+    def _runs(self, pieces: pa.BinaryArray) -> list[np.ndarray]:
+        """Ids of runs, one after another; the bytes of the tokens tell where each ends."""
+        found = []
+        for at in range(0, len(pieces), PIECES):
+            text = codecs.charmap_decode(b"\0".join(pieces.slice(at, PIECES).to_pylist()), "strict", self.letters)[0]
+            found.append(np.array(self.runs.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind))
         return found
 
-    def _pieces(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of each piece after a space; None where only its text can tell."""
-        if len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        # Letters, then ASCII marks: the pre-tokenizer parts them there.
-        parted = [(p, "") if p.isascii() and p.isalpha() else m.groups() if (m := WORD_MARKS(p)) else None for p in pieces]
-        words = {g[0] for g in parted if g}.difference(known)
-        for w in words & old.keys():
-            known[w] = old[w]
-        new = list(words.difference(known))
-        known.update(zip(new, self._words(new)))
-        marks = list({g[1] for g in parted if g} - {""})
-        tails = dict(zip(marks, self._ids(marks))) | {"": b""}
-        others = [p for p, g in zip(pieces, parted) if not g and p and not p[0].isspace() and not p[-1].isspace()]
-        found = dict(zip(others, self._ids([" " + p for p in others])))
-        return [(known[g[0]] + tails[g[1]] if g[1] else known[g[0]]) if g else found.get(p) for p, g in zip(pieces, parted)]
-
-    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
-        """Ids of each text as unsigned 32-bit integers; a null is an empty text."""
+    def _encode_pieces(self, pieces: pa.BinaryArray) -> pa.BinaryArray:
+        """The ids of each of different pieces, as bytes."""
+        if not len(pieces):
+            return pa.array([], pa.binary())
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, pieces.offset * 4)
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        other = np.logical_or.reduceat(byte_kinds(data) == OTHER, offsets[:-1] - offsets[0])
+        for token in self.added:
+            other |= pc.match_substring(pieces, token).to_numpy(zero_copy_only=False)
+        runs = np.flatnonzero(~other)
+        flat = np.concatenate([np.zeros(0, self.kind), *self._runs(pieces.take(pa.array(runs)))])
+        ends = np.searchsorted(np.cumsum(self.bytes[flat]), np.cumsum(np.diff(offsets)[runs])) + 1
+        texts = [p.decode() for p in pieces.take(pa.array(np.flatnonzero(other))).to_pylist()]
+        others = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[runs] = np.diff(ends, prepend=0)
+        sizes[other] = [len(o) for o in others]
+        made = binary(np.concatenate([flat, *others]).tobytes(), np.concatenate((sizes[runs], sizes[other])) * self.kind.itemsize)
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate((runs, np.flatnonzero(other)))] = np.arange(len(pieces))
+        return made.take(pa.array(place))
+
+    def encode(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each followed by ``end_id`` if given, and their numbers; a null is an empty text."""
         texts = pc.fill_null(texts, "")
-        split = pc.split_pattern(texts, " ")
-        starts, ends = split.offsets.to_numpy()[:-1], split.offsets.to_numpy()[1:]
-        coded = split.values.dictionary_encode()
-        number, first = coded.indices.to_numpy(), np.zeros(len(coded), bool)
-        first[starts] = True
-        ids = [i or b"" for i in self._pieces(coded.dictionary.to_pylist())]
-        # A slice has fewer than 2**31 ids; half as wide numbers halve what is held at a time.
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        unknown = sizes == 0
-        at, flat = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(ids), np.uint32)
-        sizes = sizes[number]
-        sizes[first] = 0
-        before = np.zeros(len(sizes) + 1, np.int32)
-        np.cumsum(sizes, out=before[1:])
-        places = np.repeat(at[number] - before[:-1], sizes)
-        places += np.arange(before[-1], dtype=np.int32)
-        gathered = flat[places]
-        heads = split.values.take(pa.array(starts)).to_pylist()
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4) if len(texts) else np.zeros(1, np.int32)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
+        ends = (offsets[1:] - offsets[0]).astype(np.int64)
         whole = np.zeros(len(texts), bool)
-        whole[np.searchsorted(starts, np.flatnonzero(unknown[number] & ~first), "right") - 1] = True
-        whole |= np.array([n > 1 and (not h or h[-1].isspace()) for h, n in zip(heads, (ends - starts).tolist())], bool)
         for token in self.added:
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        for k in np.flatnonzero(whole).tolist():
-            heads[k] = texts[k].as_py()
-        opened = self._ids(heads)
-        empty = gathered[:0]
-        rest = [empty if w else gathered[a:b] for w, a, b in zip(whole.tolist(), before[starts].tolist(), before[ends].tolist())]
-        return [np.concatenate((np.frombuffer(h, np.uint32), r)) for h, r in zip(opened, rest)]
+        cuts = self._cuts(data, ends, whole)
+        coded = binary(data, np.diff(cuts, append=len(data))).dictionary_encode()
+        pieces, number = coded.dictionary, coded.indices.to_numpy()
+        place = pc.index_in(pieces, value_set=self.known)
+        fresh = pc.is_null(place)
+        added = pieces.filter(fresh)
+        ids = pa.concat_arrays([self.ids, self._encode_pieces(added)])
+        at = pc.fill_null(place, 0).to_numpy().astype(np.int32)
+        at[fresh.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(ids))
+        # The end id is one more piece behind every text.
+        counts = np.searchsorted(cuts, ends)
+        codes = at[number]
+        if end_id is not None:
+            codes = np.insert(codes, counts, len(ids))
+            counts = counts + np.arange(1, len(ends) + 1)
+            ids_and_end = pa.concat_arrays([ids, pa.array([np.array([end_id], self.kind).tobytes()], pa.binary())])
+        else:
+            ids_and_end = ids
+        gathered = ids_and_end.take(pa.array(codes))
+        bounds = np.frombuffer(gathered.buffers()[1], np.int32, len(gathered) + 1) if len(gathered) else np.zeros(1, np.int32)
+        flat = np.frombuffer(gathered.buffers()[2] or b"", self.kind, int(bounds[-1]) // self.kind.itemsize) if len(gathered) else np.zeros(0, self.kind)
+        self._remember(pieces, added, ids, at)
+        return flat, np.diff(bounds[counts].astype(np.int64) // self.kind.itemsize, prepend=0)
+
+    def _remember(self, pieces: pa.BinaryArray, added: pa.BinaryArray, ids: pa.BinaryArray, at: np.ndarray) -> None:
+        """Keep the ids of short pieces: of all so far, or, if they are too many, of the last texts."""
+        if len(ids) <= REMEMBERED:
+            known, ids = pa.concat_arrays([self.known, added]), ids
+        else:
+            known, ids = pieces, ids.take(pa.array(at))
+        short = pc.less_equal(pc.binary_length(known), LONGEST)
+        self.known, self.ids = known.filter(short), ids.filter(short)
+
+
+def binary(data: bytes | np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """Byte strings of these sizes that stand one after another."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def _slices(texts: pa.StringArray, most: int) -> Iterator[tuple[int, int]]:
@@ -145,12 +210,15 @@ def _slices(texts: pa.StringArray, most: int) -> Iterator[tuple[int, int]]:
     return zip(cuts, cuts[1:])
 
 
-def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Write ``docs`` below ``folder`` in ascending id order; one row a file: file_no, path, n_docs, n_tokens. Starts the job.
+def write_tokens(
+    docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, order_by: Sequence[Column] | None = None
+) -> DataFrame:
+    """Write ``docs`` below ``folder`` by ascending id, or by ``order_by``; one row a file: file_no, path, n_docs, n_tokens. Starts the job.
 
     A null text is empty, so its document is the end id alone; a null id comes
-    first; repeated ids stay, side by side; an empty table writes no file;
-    other columns are ignored. ``folder`` is any place pyarrow can write.
+    first; rows of equal keys stay, side by side, in the order in which they are
+    read; an empty table writes no file; other columns are ignored. ``folder``
+    is any place pyarrow can write.
     """
     path = tokenizer or public_tokenizers.path(VOCABULARY)
     end = np.array([end_id], np.uint32)
@@ -162,22 +230,26 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
         out = writer = None
         for batch in batches:
             for a, b in _slices(batch.column(1), SLICE_BYTES):
-                part = batch.slice(a, b - a)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
-                    if writer is None:
-                        files.create_dir(base, recursive=True)
-                        out = files.open_output_stream(partial)
-                        writer = TokenFileWriter(out, encoder.width)
-                    writer.add(doc_id, np.concatenate((ids, end)))
+                if writer is None:
+                    files.create_dir(base, recursive=True)
+                    out = files.open_output_stream(partial)
+                    writer = TokenFileWriter(out, encoder.kind.itemsize)
+                writer.extend(batch.column(0).slice(a, b - a).to_pylist(), *encoder.encode(batch.column(1).slice(a, b - a), end_id))
         if writer is not None:
             writer.close()
             out.close()
             if files.get_file_info(target).type != pafs.FileType.NotFound:
                 files.delete_file(target)
             files.move(partial, target)
-            yield pa.record_batch([pa.array([number], pa.int64()), pa.array([f"{folder}/tokens-{number:06d}.ztok"]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.total], pa.int64())], names=["file_no", "path", "n_docs", "n_tokens"])
-
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+            found = {"file_no": number, "path": f"{folder}/tokens-{number:06d}.ztok", "n_docs": len(writer.docs), "n_tokens": writer.total}
+            yield pa.RecordBatch.from_pylist([found])
+
+    keys = [F.col(id_col).cast("long")] if order_by is None else list(order_by)
+    places = [f"_place{k}" for k in range(len(keys) + 1)]
+    # The row's number parts rows of one key, so that no task gets all of them.
+    placed = [*keys, F.monotonically_increasing_id()]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[k.alias(p) for k, p in zip(placed, places)])
+    ordered = rows.repartitionByRange(*places).sortWithinPartitions(*places).select("doc_id", "text")
     return scratch.stage(ordered.mapInArrow(run, "file_no long, path string, n_docs long, n_tokens long"), "token-files")
 
 

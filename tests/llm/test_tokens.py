@@ -15,12 +15,14 @@ from lakewarden.llm import tokens
 from lakewarden.llm.tokenfile import TokenFileReader, TokenFileWriter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-TEXTS = [None, "", " ", "a", "a  b", " a", "a ", "Hello, world! It's 10's.", "tab\t x", "x  y", "x\u0085 y z", "é ß 日本語 テスト 😀 ok", "a\x1c b", "!\x1cb c", "<|endoftext|> in text", "it's we'll 'll ' s", "don 't", "a\n b\n\nc", "᠎ x", "word " * 30000, "é ́x", "½ ² x²", "a​ b"]
+TEXTS = [None, "", " ", "a", "a  b", " a", "a ", "Hello, world! It's 10's.", "tab\t x", "x  y", "x\u0085 y z", "é ß 日本語 テスト 😀 ok", "a\x1c b", "!\x1cb c", "<|endoftext|> in text", "it's we'll 'll ' s", "don 't", "a\n b\n\nc", "᠎ x", "word " * 30000, "é ́x", "½ ² x²", "a​ b", "x × y ÷z ɏa ɐb ǀ", "a\n\n b\n  c \n d  ", "  \n", "\n", "12a 3.4, é1 1é", "x\0y", "ß-ß--ß", "a <|endoftext|><|endoftext|>b  c", "a <|endoftext b"]
+
+
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def want(texts):
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+    return [TOKENIZER.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
 
 
 def test_encoder_is_exact(spark):
@@ -28,11 +30,30 @@ def test_encoder_is_exact(spark):
     alphabet = list("ab'sdt.,!? \n\t0é日😀") + [" ", "'ll", " "]
     more = ["".join(dice.choice(alphabet) for _ in range(dice.randrange(40))) for _ in range(3000)]
     encoder = tokens.PieceEncoder.get(public_tokenizers.path("byte_bpe_50k.json"))
-    got = [ids.tolist() + [0] for ids in encoder.encode(pa.array(TEXTS + more, pa.string()).slice(0))]
+
+    def encode(texts, end_id=0):
+        flat, sizes = encoder.encode(texts, end_id)
+        assert len(flat) == sum(sizes) and len(sizes) == len(texts)
+        return [ids.tolist() for ids in np.split(flat, np.cumsum(sizes)[:-1])] if len(sizes) else []
+
+    got = encode(pa.array(TEXTS + more, pa.string()).slice(0))
     assert got == want(TEXTS + more)
-    part = pa.array(TEXTS + more, pa.string()).slice(5, 40)
-    assert [ids.tolist() + [0] for ids in encoder.encode(part)] == got[5:45]
-    assert encoder.encode(pa.array([], pa.string())) == []
+    assert encode(pa.array(TEXTS + more, pa.string()).slice(5, 40)) == got[5:45]
+    assert encode(pa.array([], pa.string())) == [] and encode(pa.array([None, ""], pa.string())) == [[0], [0]]
+    assert encode(pa.array(["a b", None], pa.string()), None) == [want(["a b"])[0][:-1], []]
+    for text in TEXTS + more[:300]:  # nothing depends on what stands beside a text
+        assert encode(pa.array([text], pa.string())) == want([text])
+
+
+def test_what_is_remembered_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    encoder = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(5):
+        texts = [f"word{chr(97 + i)}{chr(97 + k)} again, {'x' * 200}" for i in range(26)]
+        flat, sizes = encoder.encode(pa.array(texts, pa.string()), 0)
+        assert [ids.tolist() for ids in np.split(flat, np.cumsum(sizes)[:-1])] == want(texts)
+        assert len(encoder.known) == len(encoder.ids) <= 80
+        assert max(len(p) for p in encoder.known.to_pylist()) <= tokens.LONGEST
 
 
 def test_round_trip(spark):
@@ -73,3 +94,19 @@ def test_file(width):
     damaged[20] ^= 255
     with pytest.raises(Exception):
         list(TokenFileReader(io.BytesIO(bytes(damaged))).rows())
+
+
+def test_order_of_the_files(spark, tmp_path):
+    """Token files follow ``order_by``; a row of equal keys is in no task of its own."""
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('text ', id) as text", "(id * 7) % 40 as place")
+    files = tokens.write_tokens(docs, f"file://{tmp_path}/out", order_by=[F.col("place")])
+    out = sorted(tokens.read_tokens(files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [r.doc_id for r in docs.orderBy("place").collect()]
+    same = spark.range(4000).selectExpr("cast(null as long) as doc_id", "'same text' as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = tokens.write_tokens(same, f"file://{tmp_path}/same")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 1 and files.agg(F.max("n_docs")).first()[0] < 4000
+    assert tokens.read_tokens(files).count() == 4000
