@@ -5,12 +5,19 @@ While a text is streamed, the state and the length of the longest suffix that
 occurs in some item are kept; following links shortens the suffix. Adding items
 one after another from the start state, with the two cases in which an edge
 already exists handled apart, keeps every class minimal.
+
+While it grows, a state is a dictionary of edges; once finished, states and
+edges are flat arrays of numbers, some 40 bytes a word of the items.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Hashable, Sequence
 
+import numpy as np
+
 
 class SuffixAutomaton:
     """``add`` items, then ``finish``; afterwards it is read-only and can be pickled."""
@@ -20,14 +27,15 @@ class SuffixAutomaton:
         self.edges: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.size = [0]
-        self.owners: list[set[Hashable]] = [set()]
+        self.items: list[Hashable] = []
+        self.numbers: dict[Hashable, int] = {}
+        self.owned: list[tuple[int, int]] = []  # (state, item) of whole windows
         self.short: dict[int, set[Hashable]] = {}
 
     def _state(self, size: int, edges: dict[int, int], link: int) -> int:
         self.size.append(size)
         self.edges.append(edges)
         self.link.append(link)
-        self.owners.append(set())
         return len(self.size) - 1
 
     def _split(self, state: int, word: int, target: int) -> int:
@@ -64,27 +72,37 @@ class SuffixAutomaton:
         if len(words) < self.window:
             self.short.setdefault(last, set()).add(item)
         else:
+            if item not in self.numbers:
+                self.numbers[item] = len(self.items)
+                self.items.append(item)
             # Later splits can only move a prefix's class to a longer-suffix state below which it stays reachable by links.
-            for state in ends[self.window - 1 :]:
-                self.owners[state].add(item)
+            self.owned += [(state, self.numbers[item]) for state in ends[self.window - 1 :]]
 
     def finish(self) -> None:
-        """Spread owners up the links to the states that hold whole windows, and note the short items on each state's link path."""
-        order = sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True)
-        for state in order:
+        """Flatten, give each window's items to the state that holds exactly it, and note the short items on each state's link path."""
+        n = len(self.size)
+        holder, next_short = list(range(n)), [-1] * n
+        for state in sorted(range(1, n), key=self.size.__getitem__):
             up = self.link[state]
-            if up > 0 and self.size[up] >= self.window:
-                self.owners[up] |= self.owners[state]
-        self.next_short = [-1] * len(self.size)
-        for state in reversed(order):
-            self.next_short[state] = state if state in self.short else self.next_short[self.link[state]]
+            next_short[state] = state if state in self.short else next_short[up]
+            if self.size[up] >= self.window:
+                holder[state] = holder[up]
+        self.width = 1 + max((max(e) for e in self.edges if e), default=-1)
+        edges = sorted((state * self.width + word, target) for state, e in enumerate(self.edges) for word, target in e.items())
+        self.keys, self.targets = array("q", [k for k, _ in edges]), array("i", [t for _, t in edges])
+        self.link, self.size, self.holder, self.next_short = (array("i", x) for x in (self.link, self.size, holder, next_short))
+        owned = np.array(self.owned, np.int64).reshape(-1, 2)
+        pairs = np.unique(np.array(holder)[owned[:, 0]] * max(len(self.items), 1) + owned[:, 1])
+        self.owner_of, self.owner = (array("i", x.tolist()) for x in np.divmod(pairs, max(len(self.items), 1)))
+        del self.edges, self.owned, self.numbers
 
     def find(self, words: Sequence[int]) -> tuple[list[tuple[int, int]], set[Hashable]]:
         """Spans [start, end) of words covered by windows, merged, and the items whose windows occur.
 
         A word below 0 is in no item.
         """
-        edges, link, size, window, short, next_short = self.edges, self.link, self.size, self.window, self.short, self.next_short
+        keys, targets, width, last = self.keys, self.targets, self.width, len(self.keys)
+        link, size, window, short, next_short = self.link, self.size, self.window, self.short, self.next_short
         state = length = 0
         spans: list[tuple[int, int]] = []
         found: set[Hashable] = set()
@@ -95,22 +113,23 @@ class SuffixAutomaton:
             spans.append((start, end))
 
         for at, word in enumerate(words):
-            if word < 0:
+            if not 0 <= word < width:
                 state = length = 0
                 continue
-            while state and word not in edges[state]:
+            while True:
+                key = state * width + word
+                place = bisect_left(keys, key)
+                if place < last and keys[place] == key:
+                    state = targets[place]
+                    length += 1
+                    break
+                if not state:
+                    length = 0
+                    break
                 state = link[state]
                 length = size[state]
-            if word not in edges[state]:
-                state = length = 0
-                continue
-            state = edges[state][word]
-            length += 1
             if length >= window:
-                holder = state
-                while size[link[holder]] >= window:
-                    holder = link[holder]
-                found |= self.owners[holder]
+                found |= self._owners(self.holder[state])
                 cover(at + 1 - window, at + 1)
             small = next_short[state]
             while small > 0:
@@ -119,3 +138,7 @@ class SuffixAutomaton:
                     cover(at + 1 - size[small], at + 1)
                 small = next_short[link[small]]
         return spans, found
+
+    def _owners(self, state: int) -> set[Hashable]:
+        a, b = bisect_left(self.owner_of, state), bisect_left(self.owner_of, state + 1)
+        return {self.items[k] for k in self.owner[a:b]}

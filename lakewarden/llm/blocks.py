@@ -1,8 +1,8 @@
-"""Arrow batches as plain Python columns, for operators that work on bytes."""
+"""Arrow batches as bytes, and names for columns of our own."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 
@@ -19,5 +19,13 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes | None]:
         yield value.as_py()
 
 
-def plain(column: pa.Array) -> list:
-    return column.to_pylist()
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column has it, upper or lower case."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found

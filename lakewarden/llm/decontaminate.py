@@ -1,10 +1,12 @@
 """Benchmark decontamination with a generalised suffix automaton of the items.
 
-The automaton is built on the driver from the benchmark only and sent to the
-executors. Its size is proven first: words are counted and, beyond
-``block_words``, items are dealt to blocks; each block gets an
-automaton of its own and a pass over the corpus, and the spans are united. So
-neither driver nor executors ever hold more than one block.
+Automata are built on the driver from the benchmark only and sent to the
+executors. Their size is proven first: words are counted and, beyond
+``block_words``, items are dealt to blocks; each block gets a pass over the
+corpus, and the spans are united before anything is judged or cut. So neither
+driver nor executors ever hold more than one block. A block is built as automata
+of ``SEGMENT_WORDS`` words, one after another, since one that grows takes some
+fifteen times the memory of a finished one.
 
 Texts are streamed as bytes. Only stretches in which every word and every word
 pair occurs in the items can hold a window, so the automaton walks those alone;
@@ -24,18 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakewarden.llm.automaton import SuffixAutomaton
-from lakewarden.llm.blocks import text_bytes
+from lakewarden.llm.blocks import text_bytes, unused
 from lakewarden.llm.scratch import discard, stage
 from lakewarden.sources.tables import table
 
 WINDOW = 10
 #: Items of more words in all are dealt to blocks.
 BLOCK_WORDS = 2_000_000
+#: A new automaton is begun after so many words.
+SEGMENT_WORDS = 200_000
 #: A document goes as a whole if more than this share of its words is hit.
 COVERAGE_LIMIT = 0.5
 PAIR_BITS = 22
 #: States of a document between rounds of cutting.
-DONE, OPEN, GONE = 0, 1, 2
+OPEN, GONE = 1, 2
 
 #: Bytes of a word: 0-9, a-z after lower-casing, everything beyond ASCII; others part words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -56,23 +60,36 @@ class Matcher:
     """One block of items, ready to search texts."""
 
     numbers: dict[bytes, int]
-    automaton: SuffixAutomaton
+    automata: list[SuffixAutomaton]
     pairs: np.ndarray
     shortest: int
 
     @classmethod
     def build(cls, items: list[tuple[object, bytes | None]], window: int = WINDOW) -> Matcher:
         numbers: dict[bytes, int] = {}
-        automaton, pairs, shortest = SuffixAutomaton(window), np.zeros(1 << PAIR_BITS, bool), window
+        automata, pairs, shortest, held = [SuffixAutomaton(window)], np.zeros(1 << PAIR_BITS, bool), window, 0
         for item, text in items:
             ids = [numbers.setdefault(w, len(numbers)) for w in words_of(text)]
-            automaton.add(item, ids)
+            if held and held + len(ids) > SEGMENT_WORDS:
+                automata[-1].finish()
+                automata.append(SuffixAutomaton(window))
+                held = 0
+            automata[-1].add(item, ids)
+            held += len(ids)
             if ids:
                 shortest = min(shortest, len(ids))
                 codes = np.array(ids, np.int64)
                 pairs[_pair_codes(codes[:-1], codes[1:])] = True
-        automaton.finish()
-        return cls(numbers, automaton, pairs, shortest)
+        automata[-1].finish()
+        return cls(numbers, automata, pairs, shortest)
+
+    def _walk(self, ids: list[int], at: int) -> tuple[list[tuple[int, int]], set]:
+        spans, found = [], set()
+        for automaton in self.automata:
+            some, items = automaton.find(ids)
+            spans += [(at + x, at + y) for x, y in some]
+            found |= items
+        return spans, found
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged spans of hit words and the items whose windows occur."""
@@ -81,17 +98,18 @@ class Matcher:
         get = self.numbers.get
         ids = np.array([get(w, -1) for w in words], np.int64)
         if self.shortest < 2:
-            return self.automaton.find(ids.tolist())
+            spans, found = self._walk(ids.tolist(), 0)
+            return _merge(spans), found
         joined = (ids[:-1] >= 0) & (ids[1:] >= 0)
         joined[joined] = self.pairs[_pair_codes(ids[:-1][joined], ids[1:][joined])]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], joined, [False])).astype(np.int8)))
         spans, found = [], set()
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if b - a + 1 >= self.shortest:
-                some, items = self.automaton.find(ids[a : b + 1].tolist())
-                spans += [(a + x, a + y) for x, y in some]
+                some, items = self._walk(ids[a : b + 1].tolist(), a)
+                spans += some
                 found |= items
-        return spans, found
+        return _merge(spans), found
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -148,38 +166,47 @@ def _search(text: bytes | None, matchers: list[Matcher]) -> tuple:
         some, items = m.find(words)
         spans += some
         found |= items
-    spans = _merge(spans)
-    return len(words), [x for span in spans for x in span], [str(i) for i in found]
+    return len(words), [x for span in _merge(spans) for x in span], [None if i is None else str(i) for i in found]
+
+
+FOUND = "n_words long, spans array<long>, items array<string>"
+
+
+def _each_block(blocks: Iterable, rows: DataFrame, column: str, window: int) -> Iterator[DataFrame]:
+    """What each block finds in ``column`` of ``rows``, one after another; the block's automata are dropped when the next is asked for."""
+    for block in blocks:
+        shared = rows.sparkSession.sparkContext.broadcast(Matcher.build(block, window))
+        yield _per_text(rows, column, [shared], _search, FOUND)
+        shared.destroy()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """Per row: doc_id, n_words, spans (flat [start, end) word places, merged), items (ids as strings, unordered).
 
     Null and wordless texts have no words and no spans; repeated rows are
-    searched each; empty tables on either side work; other columns are ignored.
-    """
+    searched each; an item without an id is one item whose id is null; empty
+    tables on either side work; other columns are ignored.
+    """
     spark = docs.sparkSession
     blocks = item_blocks(benchmark, id_col=item_col, text_col=item_text_col, block_words=block_words)
     first, second = next(blocks, []), next(blocks, None)
-    fields = "n_words long, spans array<long>, items array<string>"
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     if second is None:
-        return _per_text(named, "_text", [spark.sparkContext.broadcast(Matcher.build(first, window))], _search, fields)
-    return _by_blocks(named, chain([first, second], blocks), window, fields)
-
-
-def _by_blocks(named: DataFrame, blocks: Iterable, window: int, fields: str) -> DataFrame:
-    """Successive passes, each adding the spans and items of one block to the staged result of those before it."""
-    spark = named.sparkSession
-    none = F.array().cast("array<long>"), F.array().cast("array<string>")
-    rows = named.withColumns({"n_words": F.lit(0).cast("long"), "spans": none[0], "items": none[1]})
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(Matcher.build(block, window))
-        before = rows.withColumnsRenamed({"n_words": "_n", "spans": "_spans", "items": "_items"}).withColumn("_search", F.col("_text"))
-        after = _per_text(before, "_search", [shared], _search, fields)
-        rows = stage(after.select("doc_id", "_text", "n_words", F.concat("_spans", "spans").alias("spans"), F.array_union("_items", "items").alias("items")), "contamination")
-        shared.destroy()
-    return _per_text(rows.drop("_text").withColumnRenamed("spans", "_spans"), "_spans", [], _united, "spans array<long>").select("doc_id", "n_words", "spans", "items")
+        return _per_text(named, "_text", [spark.sparkContext.broadcast(Matcher.build(first, window))], _search, FOUND)
+    # Texts are written once, with a number; of the blocks only numbers and what they hit.
+    rows = stage(named.withColumn("_row", F.monotonically_increasing_id()), "contamination-texts")
+    parts: list[DataFrame] = []
+    for found in _each_block(chain([first, second], blocks), rows, "_text", window):
+        found = found if not parts else found.filter("size(spans) > 0").withColumns({"doc_id": F.lit(None).cast(named.schema["doc_id"].dataType), "n_words": F.lit(None).cast("long")})
+        parts.append(stage(found, "contamination"))
+    discard(rows)
+    united = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+    return _per_text(united.drop("_row"), "_spans", [], _united, "spans array<long>").select("doc_id", "n_words", "spans", "items")
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -209,49 +236,53 @@ def _cut(text: bytes | None, matchers: list[Matcher], limit: float) -> tuple[byt
         text = _without(text, spans)
 
 
-def _cut_once(row: dict, limit: float) -> tuple[bytes | None, int, int, int]:
-    """One round of ``_cut`` with the spans of all blocks: text, words at first, words hit so far, and OPEN if cut, DONE if not hit, GONE."""
-    text, total, hit = row["text"], row["total"], row["hit"]
+def _cut_once(row: dict, limit: float) -> tuple[bytes, int, int, int]:
+    """One round of ``_cut`` with the spans of all blocks: text, words at first, words hit so far, and OPEN if cut, GONE if beyond the limit."""
+    text, total, hit = bytes(row["text"]), row["total"], row["hit"]
     spans = _merge(list(zip(row["spans"][::2], row["spans"][1::2])))
-    if text is None or not spans:
-        return text, total, hit, DONE
-    text = bytes(text)
     total = total or len(words_of(text))
     hit += sum(b - a for a, b in spans)
     return (text, total, hit, GONE) if hit > limit * total else (_without(text, spans), total, hit, OPEN)
 
 
 def _cut_by_blocks(docs: DataFrame, read_blocks: Callable[[], Iterable], text_col: str, window: int, limit: float) -> DataFrame:
-    """As with one automaton: each round unites the spans of all blocks and cuts once; documents that were cut come again until nothing is hit."""
-    spark, own = docs.sparkSession, docs.columns
-    none = F.array().cast("array<long>")
-    rows = docs.withColumns({"_total": F.lit(0).cast("long"), "_hit": F.lit(0).cast("long")})
-    done, staged = [], False
+    """As with one automaton: each round unites the spans of all blocks and cuts once; documents that were cut come again until nothing is hit.
+
+    Texts are written once a round; blocks write the numbers of hit rows and
+    their spans, which meet the rows in a join that Spark plans by their size.
+    """
+    own = docs.columns
+    number, total, hit, spans, state, text, row = unused(own, "row", "total", "hit", "spans", "state", "after", "cut")
+    done, rows = [], docs.withColumns({total: F.lit(0).cast("long"), hit: F.lit(0).cast("long")})
     while True:
-        rows = rows.withColumn("_spans", none)
-        for block in read_blocks():
-            shared = spark.sparkContext.broadcast(Matcher.build(block, window))
-            found = _per_text(rows.withColumn("_search", F.col(text_col)), "_search", [shared], lambda t, m: (_search(t, m)[1],), "_more array<long>")
-            after = stage(found.withColumn("_spans", F.concat("_spans", "_more")).drop("_more"), "cut-spans")
-            shared.destroy()
-            if staged:
-                discard(rows)
-            rows, staged = after, True
-        state = F.struct(F.col(text_col).cast("binary").alias("text"), F.col("_total").alias("total"), F.col("_hit").alias("hit"), F.col("_spans").alias("spans"))
-        cut = _per_text(rows.withColumn("_row", state).drop(text_col, "_total", "_hit", "_spans"), "_row", [], lambda r, _: _cut_once(r, limit), "_after binary, _total long, _hit long, _state long")
-        after = stage(cut.withColumn(text_col, F.col("_after").cast("string")).drop("_after"), "cut")
-        discard(rows)
-        done.append(after.filter(F.col("_state") == DONE).select(*own))
-        rows, staged = after.filter(F.col("_state") == OPEN).select(*own, "_total", "_hit"), False
-        if rows.isEmpty():
+        rows = stage(rows.withColumn(number, F.monotonically_increasing_id()), "cut")
+        searched = rows.select(F.col(number).alias("_row"), F.col(text_col).alias("_text"))
+        parts = [stage(found.filter("size(spans) > 0").select("_row", "spans"), "cut-spans") for found in _each_block(read_blocks(), searched, "_text", window)]
+        hits = reduce(DataFrame.union, parts).groupBy(F.col("_row").alias(number)).agg(F.flatten(F.collect_list("spans")).alias(spans))
+        hits = stage(hits, "cut-hits")
+        for part in parts:
+            discard(part)
+        done.append(rows.join(hits, number, "left_anti").select(*own))
+        met = F.struct(F.col(text_col).cast("binary").alias("text"), F.col(total).alias("total"), F.col(hit).alias("hit"), F.col(spans).alias("spans"))
+        open_ = rows.join(hits, number).withColumn(row, met).drop(text_col, total, hit, spans, number)
+        cut = _per_text(open_, row, [], lambda r, _: _cut_once(r, limit), f"{text} binary, {total} long, {hit} long, {state} long")
+        rows = cut.filter(F.col(state) == OPEN).withColumn(text_col, F.col(text).cast("string")).select(*own, total, hit)
+        if hits.isEmpty():
             return reduce(DataFrame.union, done)
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", length_col: str | None = None, window: int = WINDOW, coverage_limit: float = COVERAGE_LIMIT, item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without benchmark spans, columns unchanged; documents hit beyond ``coverage_limit`` go.
+def remove_contamination(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", length_col: str | None = None, window: int = WINDOW, coverage_limit: float = COVERAGE_LIMIT,
+    item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """``docs`` without benchmark spans, columns unchanged; documents hit beyond ``coverage_limit`` of their words at first go.
 
-    ``length_col``, if named, gets the new length of texts that were cut.
-    """
+    ``length_col``, if named, gets the length in code points of every text. The
+    result does not depend on how items are dealt to blocks. A null or empty
+    text stays as it is; repeated rows are cut each; an empty table gives an
+    empty result, an empty benchmark leaves all as it is; other columns, of
+    whatever name, are passed on.
+    """
     spark, own = docs.sparkSession, docs.columns
 
     def read_blocks() -> Iterator:
@@ -260,9 +291,11 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     blocks = read_blocks()
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
+        before, after, stays = unused(own, "before", "after", "stays")
         shared = spark.sparkContext.broadcast(Matcher.build(first, window))
-        docs = _per_text(docs.withColumn("_before", F.col(text_col)).drop(text_col), "_before", [shared], lambda t, m: _cut(t, m, coverage_limit), "_after binary, _stays long")
-        docs = docs.filter("_stays = 1").drop("_stays").withColumnRenamed("_after", text_col).withColumn(text_col, F.col(text_col).cast("string"))
+        renamed = docs.withColumn(before, F.col(text_col).cast("string")).drop(text_col)
+        docs = _per_text(renamed, before, [shared], lambda t, m: _cut(t, m, coverage_limit), f"{after} binary, {stays} long")
+        docs = docs.filter(F.col(stays) == 1).drop(stays).withColumn(text_col, F.col(after).cast("string"))
     else:
         first = second = None
         docs = _cut_by_blocks(docs.withColumn(text_col, F.col(text_col).cast("string")), read_blocks, text_col, window, coverage_limit)

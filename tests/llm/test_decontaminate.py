@@ -102,3 +102,27 @@ def test_removal_by_blocks_is_that_of_one_block(spark):
     for given, against in ((docs, bench.filter("length(text) > 25")), (more, items), (more, items.limit(0))):
         want, got = ([tuple(r) for r in decontaminate.remove_contamination(given, against, length_col="n_chars", block_words=n).select(*docs.columns).collect()] for n in (10**6, 25))
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_segments_are_searched_alike(spark, monkeypatch):
+    docs, bench, _, _ = tables(spark)
+    read = lambda: sorted((r.doc_id, r.n_words, tuple(r.spans), tuple(sorted(r["items"]))) for r in decontaminate.contamination(docs, bench).collect())
+    want = read()
+    monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", 40)
+    assert read() == want
+
+
+def test_clashing_names_and_missing_ids(spark):
+    """Columns of any name pass; an item without an id counts, but has no place among the ids."""
+    text = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, "x " * 40 + text, "a", "b"), (2, text, "c", "d"), (None, "clean", "e", "f")], "doc_id long, text string, before string, _row string")
+    for name in ("after", "stays", "total", "hit", "spans", "state", "row", "cut", "n_words", "items"):
+        docs = docs.withColumn(name, F.col("before"))
+    bench = spark.createDataFrame([(None, text), (7, text)], ITEMS)
+    for block_words in (10**6, 13):
+        out = decontaminate.remove_contamination(docs, bench, block_words=block_words)
+        rows = {r.doc_id: r for r in out.collect()}
+        assert out.columns == docs.columns and set(rows) == {1, None} and rows[1].text == "x " * 40 and rows[1].cut == "a" and rows[None].text == "clean"
+        found = {r.doc_id: r["items"] for r in decontaminate.contamination(docs, bench, block_words=block_words).collect()}
+        assert all(sorted(found[k], key=str) == ["7", None] for k in (1, 2)) and found[None] == []
+    assert decontaminate.remove_contamination(docs.limit(0), bench).count() == 0
