@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 
@@ -25,11 +27,13 @@ class BiLSTM:
         self.weights["V"] = (dice.standard_normal((2 * hidden + width, 1)) * 0.1).astype(np.float32)
         self.weights["c"] = np.zeros(1, np.float32)
 
-    def _scan(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
-        """x: (steps, pages, width), padded at the end; mask: (steps, pages, 1)."""
-        steps, pages, _ = x.shape
+    def _inner(self, x: np.ndarray, side: str) -> np.ndarray:
+        return x @ self.weights[f"W{side}"] + self.weights[f"B{side}"]
+
+    def _scan(self, inner: np.ndarray, mask: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
+        """inner: (steps, pages, 4 * hidden), padded at the end; mask: (steps, pages, 1)."""
+        steps, pages, _ = inner.shape
         n, w = self.hidden, self.weights
-        inner = x @ w[f"W{side}"] + w[f"B{side}"]
         h, c = np.zeros((pages, n), np.float32), np.zeros((pages, n), np.float32)
         out, tape = np.zeros((steps, pages, n), np.float32), []
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
@@ -46,12 +50,26 @@ class BiLSTM:
         return out, tape
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        ahead, tape_f = self._scan(x, mask, "f", keep)
-        back, tape_b = self._scan(x, mask, "b", keep)
+        ahead, tape_f = self._scan(self._inner(x, "f"), mask, "f", keep)
+        back, tape_b = self._scan(self._inner(x, "b"), mask, "b", keep)
         seen = np.concatenate([ahead, back, x], axis=2)
         p = _sigmoid(seen @ self.weights["V"] + self.weights["c"])[..., 0]
         return p, (seen, tape_f, tape_b)
 
+    def read(self, pieces: Iterable[np.ndarray]) -> np.ndarray:
+        """P(keep) of every step of one sequence whose features come in pieces: as :meth:`forward`, but they are never held together."""
+        inner: dict[str, list[np.ndarray]] = {"f": [], "b": []}
+        own, n = [], self.hidden
+        for x in pieces:
+            for side, parts in inner.items():
+                parts.append(self._inner(x, side))
+            own.append(x @ self.weights["V"][2 * n :] + self.weights["c"])
+        z, mask = np.concatenate(own), np.ones((sum(map(len, own)), 1, 1), bool)
+        for k, side in enumerate("fb"):
+            out, _ = self._scan(np.concatenate(inner.pop(side))[:, None], mask, side, False)
+            z += out[:, 0] @ self.weights["V"][k * n : (k + 1) * n]
+        return _sigmoid(z)[:, 0]
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p, (seen, tape_f, tape_b) = self.forward(x, mask, keep=True)
         m, total = mask[..., 0], max(float(mask.sum()), 1.0)

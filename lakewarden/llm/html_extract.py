@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakewarden.llm.bilstm import BiLSTM, pad
-from lakewarden.llm.htmlblocks import Block, blocks
+from lakewarden.llm.htmlblocks import Block, Path, blocks
 from lakewarden.sources.tables import table
 
 PATH_SLOTS, LEAF_SLOTS, WORD_SLOTS, MEASURES = 96, 32, 16, 6
@@ -37,23 +37,36 @@ def _slot(name: str, slots: int) -> int:
     return zlib.crc32(name.encode()) % slots
 
 
-def features(page: list[Block]) -> np.ndarray:
+def path_slots(path: Path | None) -> int:
+    """The slots of a whole path as bits; each element adds its own to those of the elements around it."""
+    todo = []
+    while path and path.marks is None:
+        todo.append(path)
+        path = path.outer
+    marks = path.marks if path else 0
+    for path in reversed(todo):
+        if path.label not in ("html", "body"):
+            for part in path.label.split("."):
+                marks |= 1 << _slot(part, PATH_SLOTS)
+        path.marks = marks
+    return marks
+
+
+def features(page: Sequence[Block]) -> np.ndarray:
     """One row a block. The innermost tag has slots of its own, beside those of the whole path."""
     out = np.zeros((len(page), WIDTH), np.float32)
+    bits = b"".join(path_slots(b.path).to_bytes(PATH_SLOTS // 8, "little") for b in page)
+    out[:, :PATH_SLOTS] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").reshape(len(page), PATH_SLOTS)
     for k, b in enumerate(page):
         row = out[k]
-        for label in b.path:
-            if label not in ("html", "body"):
-                for part in label.split("."):
-                    row[_slot(part, PATH_SLOTS)] = 1.0
         if b.path:
-            row[PATH_SLOTS + _slot(b.path[-1].split(".")[0], LEAF_SLOTS)] = 1.0
+            row[PATH_SLOTS + _slot(b.path.label.split(".")[0], LEAF_SLOTS)] = 1.0
         words = b.text.split(" ")
         hashed = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in words), np.int64, len(words))
         at = PATH_SLOTS + LEAF_SLOTS
         row[at : at + WORD_SLOTS] = np.bincount(hashed, minlength=WORD_SLOTS) / len(words)
-        n = len(b.text)
-        row[at + WORD_SLOTS :] = (min(np.log1p(n) / 8, 1.5), min(b.n_link / n, 1.0), len(words) < 6, b.text[-1] in ".!?…:\"”", len(b.path) / 16, b.text.count(",") / len(words))
+        n, depth = len(b.text), b.path.depth if b.path else 0
+        row[at + WORD_SLOTS :] = (min(np.log1p(n) / 8, 1.5), min(b.n_link / n, 1.0), len(words) < 6, b.text[-1] in ".!?…:\"”", min(depth / 16, 4.0), b.text.count(",") / len(words))
     return out
 
 
@@ -197,6 +210,11 @@ def label(model: BiLSTM, pages: list[list[Block]]) -> list[np.ndarray]:
     order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
     at = 0
     while at < len(order):
+        if len(pages[order[at]]) > STEP_BLOCKS:  # a long page goes by itself, its features a piece at a time
+            whole = pages[order[at]]
+            kept[order[at]] = model.read(features(whole[a : a + STEP_BLOCKS]) for a in range(0, len(whole), STEP_BLOCKS)) > 0.5
+            at += 1
+            continue
         n = max(1, min(len(order) - at, STEP_BLOCKS // len(pages[order[at]])))
         while n > 1 and n * len(pages[order[at + n - 1]]) > 2 * STEP_BLOCKS:
             n //= 2
@@ -214,7 +232,11 @@ def main_texts(model: BiLSTM, pages: list[str | None]) -> list[str]:
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``keep`` columns and ``text`` of every row; null or textless pages give the empty string, repeated rows each their own."""
+    """``keep`` columns and ``text`` of every row, whole pages whatever their length or depth.
+
+    Null or textless pages give the empty string, repeated rows each their own;
+    null keys pass; an empty table gives an empty result; other columns are ignored.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(labeller())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

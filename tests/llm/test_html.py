@@ -1,5 +1,7 @@
 """HTML extraction: parser, gradients, held-out accuracy, whole pages."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +24,48 @@ def test_blocks():
     assert len(blocks("<p>x</p>" * 50000)) == 50000
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p title=it's>Hello world</p><p>Second para.</p><p>It's fine</p></article>", ["Hello world", "Second para.", "It's fine"]),
+    ("<p a'b c=\"x>y\" d = 'p>q' e=\"f>g", []),
+    ("<p a=>one</p><p =x>two<p a = b/>three", ["one", "two", "three"]),
+    ("<a href=x?a='1'>in</a> it's <b title=\"'\">so", ["in it's so"]),
+    ("a</>b</ x>c<!-->d<!--->e<!-- x --!>f", ["abcdef"]),
+    ("<head><title>t</title><p>body begins</p>", ["body begins"]),
+    ("<head><meta x> text</head> more", ["text", "more"]),
+    ("<p>x <math><mi>y</mi></math> <object>fallback</object><noscript>plain</noscript>", ["x y fallback", "plain"]),
+    ("<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table>e</table>f", ["a", "b", "c", "d", "e", "f"]),
+    ("<ul><li>a<ul><li>b</ul><li>c</ul><select><option>no</select>", ["a", "b", "c"]),
+    ("<div><p>a</div></p>b", ["a", "b"]),
+])
+def test_markup(page, want):
+    assert [b.text for b in blocks(page)] == want
+
+
+def test_labels():
+    path = blocks("<div class='Side bar' id=top data-class=no><p role=note>x")[0].path
+    assert list(path.labels()) == ["p.note", "div.side.bar.top"]
+
+
+@pytest.mark.parametrize("page, n", [
+    ("<div>x" * 100_000, 100_000), ("<div>" * 100_000 + "</p>" * 100_000 + "x", 1), ("<p><table>" + "<div>" * 50_000 + "<td></td>" * 50_000 + "x", 1),
+    ("<li>" * 100_000 + "x", 1), ("<" * 1_000_000, 1), ("<a " * 500_000, 0), ("<a b='" * 500_000, 0), ("<!-- " * 500_000, 0), ("<a =" * 300_000, 0), ("<script>" * 200_000, 0), ("a " * 2_500_000, 1),
+])
+def test_large_and_deep_pages_take_seconds(page, n):
+    began = time.perf_counter()
+    assert len(blocks(page)) == n
+    assert time.perf_counter() - began < 10
+
+
+def test_long_page_in_pieces(monkeypatch):
+    """A page beyond the step gets the labels that it has as a whole; depth costs no memory."""
+    model, layouts = html_extract.labeller(), html_extract.Layouts(8)
+    page = [b for _ in range(40) for b, _ in layouts.page()]
+    want = html_extract.label(model, [page])[0]
+    monkeypatch.setattr(html_extract, "STEP_BLOCKS", 64)
+    assert (html_extract.label(model, [page])[0] == want).all()
+    assert html_extract.main_texts(model, ["<div>x" * 20_000])[0].count("x") in range(20_001)
+
+
 def test_gradients():
     dice = np.random.default_rng(0)
     model = BiLSTM(5, 3, 1)
