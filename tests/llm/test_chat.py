@@ -2,7 +2,9 @@
 
 import json
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.llm import chat
@@ -76,3 +78,49 @@ def test_random_dependence(spark):
         rows += [(conv, k, "assistant", call(i, after=calls[i])) for k, i in enumerate(ids)]
     linked = chat.link(chat.parse_messages(spark.createDataFrame(rows, SCHEMA))).collect()
     assert {(r.conv_id, r.id): r.level for r in linked} == want
+
+
+DEEP = "[" * 3000 + "]" * 3000
+
+
+@pytest.mark.parametrize("text, content, ids", [
+    (f'a <tool_result>{{"id":"x","content":{DEEP}}}</tool_result>', None, []), ('<tool_call>{"id":"x","name":"search","arguments":' + '{"a":' * 5000 + "1" + "}" * 5001 + "</tool_call>", None, []),
+    ('<tool_call>{"id":"\\ud800","name":"n\\udfff","arguments":{"\\ud800":"\\udc00"}}</tool_call>', "", ["\ufffd"]), ('<tool_call>{"id":1,"name":"search","arguments":{"query":"x","limit":' + "9" * 400 + "}}</tool_call>", "", ["1"]),
+    ('<tool_call>{"id":' + "9" * 5000 + "}</tool_call>", None, []), ('<tool_call>{"id":"e","name":"search","arguments":{"query":"x","limit":1e999}}</tool_call>', "", ["e"]),
+    ("<tool_call>" * 200_000, None, []), ("<tool_call>" * 200_000 + "</tool_call>", None, []), ("<tool_call></tool_result>" * 100_000, None, []), ('<tool_call>{"id":true}</tool_call>', None, []),
+    ('<tool_call>{"id":"a","after":[["b"],"c",true,2]}</tool_call>', "", ["a"]),
+])
+def test_odd_messages(text, content, ids):
+    """What no JSON parser should be asked to do stays text or becomes sound; nothing raises, nothing takes long."""
+    began = time.perf_counter()
+    got, events = chat.parse("assistant", text, chat.SCHEMAS)
+    assert time.perf_counter() - began < 5
+    assert got == (text if content is None else content) and [e["id"] for e in events] == ids
+    json.dumps([got, events], ensure_ascii=False).encode()
+    held = [e | {"status": "linked", "level": 0} for e in events]
+    assert json.loads(chat.message_text("assistant", got, held))["content"] == got
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of calls, one with a ring at its end, a comb and a ladder; repeated ids by the thousand."""
+    n = 1500
+    rows = [(1, f"c{k}", [f"c{k - 1}"] if k else []) for k in range(n)]
+    rows += [(2, f"c{k}", [f"c{k - 1}"] if k else ["c2"]) for k in range(n)]
+    rows += [(3, f"c{k}", [f"c{k - 1}", f"r{k}"] if k else []) for k in range(n)] + [(3, f"r{k}", []) for k in range(n)]
+    rows += [(4, f"{s}{k}", [f"a{k - 1}", f"b{k - 1}"] if k else []) for k in range(12) for s in "ab"]
+    rows += [(5, "p", ["q", "s"]), (5, "q", ["p", "s"]), (5, "s", ["p", "q"]), (None, "c0", []), (None, "c1", ["c0", "c5"])]
+    want = {}
+    for conv in (1, 2, 3, 4, 5, None):
+        want |= {(conv, i): v for i, v in plain_levels({i: a for c, i, a in rows if c == conv}).items()}
+    rounds = []
+    whole = chat._follow
+    monkeypatch.setattr(chat, "_follow", lambda *a, **k: rounds.append(1) or whole(*a, **k))
+    out = chat.levels(spark.createDataFrame(rows, "conv_id long, id string, after array<string>")).collect()
+    assert {(r.conv_id, r.id): r.level for r in out} == want and len(out) == len(rows)
+    assert len(rounds) <= 2 * 16
+
+
+def test_repeated_ids(spark):
+    rows = [(1, t, "assistant", call("same", args={"query": f"q{t}"}) + result("same", t)) for t in range(300)]
+    linked = chat.link(chat.parse_messages(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert len(linked) == 600 and {(r.kind, r.turn, r.status) for r in linked if r.status != "duplicate"} == {("call", 0, "linked"), ("result", 0, "linked")}

@@ -83,5 +83,8 @@ def test_html_query(spark, views):
 
 
 def test_chat_query(spark, views):
-    out = registry.queries()["op9_chat"](spark, FOLDER).collect()
-    assert len(out) == len(views.sql("SELECT 1 FROM conversations").fetchall())
+    """The derived events reach every status, so links, levels and schemas act on the table."""
+    out = registry.queries()["op9_chat"](spark, "/root/testdata/sf0.01").collect()
+    text = " ".join(r.message for r in out)
+    assert all(f'"status":"{s}"' in text for s in ("linked", "unanswered", "duplicate", "orphan", "cyclic"))
+    assert any(r.n_invalid for r in out) and '"level":2' in text
