@@ -32,6 +32,8 @@ OPENING = re.compile("<tool_(call|result)>")
 SURROGATE = re.compile("[\ud800-\udfff]")
 #: JSON nested deeper than this stays text.
 MOST_DEPTH = 200
+#: Edges of one call while levels are found.
+MOST_EDGES = 1024
 #: Pieces into which the rows of a repeated id are dealt.
 SALTS = 16
 EVENT = "struct<kind: string, place: int, id: string, name: string, body: string, after: array<string>, valid: boolean>"
@@ -188,11 +190,13 @@ def levels(calls: DataFrame) -> DataFrame:
     needs as edges (need, w): its level is the greatest of ``base`` and the levels
     of its needs plus w. A round first takes edges to calls of known level into
     the base, so that edges lead to open calls only, then replaces an edge to a
-    call that has one edge itself by that edge, w added up. So chains, and trees
-    of them, halve; where call after call needs two calls that are both open, a
-    round settles a level. A path longer than the calls of a conversation goes
-    round in a ring, and so do rows that a round leaves as they are. Each round
-    is staged, with the rows that were open before it.
+    call by that call's edges, w added up, unless a call would get more than
+    ``MOST_EDGES`` by that. So what is left of a path halves; where call after
+    call needs several open calls, steps double until they are some
+    ``MOST_EDGES`` ** 0.5 calls long, and then a round settles a step. A path
+    longer than the calls of a conversation goes round in a ring, and so do rows
+    that a round leaves as they are. Each round is staged, with the rows that
+    were open before it.
     """
     edge = F.struct(F.col("need"), F.lit(1).cast("long").alias("w"))
     asked = calls.select("conv_id", "id", F.explode("after").alias("need")).alias("n").join(calls.select("conv_id", "id").alias("c"), same("n", "c", on=("need", "id"))).select("n.*")
@@ -219,19 +223,17 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def _follow(open_: DataFrame, now: DataFrame, most: int, jump: bool) -> DataFrame:
-    """The rows ``open_`` with what their edges lead to in ``now`` taken in: known levels, and, to ``jump``, the edge of calls that have one."""
-    asked = open_.select("conv_id", "id", "base", F.explode("edges").alias("e")).select("conv_id", "id", "base", "e.*")
+    """The rows ``open_`` with what their edges lead to in ``now`` taken in: known levels, and, to ``jump``, edges."""
+    asked = open_.select("conv_id", "id", "base", F.size("edges").alias("n"), F.explode("edges").alias("e")).select("conv_id", "id", "base", "n", "e.*")
     met = asked.alias("a").join(now.alias("t"), same("a", "t", on=("need", "id")))
     left = F.size("t.edges")
-    onward = F.struct(F.col("t.edges")[0]["need"].alias("need"), (F.col("a.w") + F.col("t.edges")[0]["w"]).alias("w"))
-    one = (left == 1) & F.lit(jump)
-    rest = F.when(one, onward).when(left > 0, F.struct("a.need", "a.w"))
-    met = met.select("a.conv_id", "a.id", "a.base", F.when((left == 0) | one, F.col("t.base") + F.col("a.w")).otherwise(0).alias("reach"), F.col("t.ring").alias("ring"), rest.alias("rest"))
-    ring = F.col("ring") | F.coalesce((F.col("rest.w") > most) | (F.col("rest.need") == F.col("id")), F.lit(False))
-    summed = met.groupBy("conv_id", "id").agg(
-        F.greatest(F.max("base"), F.max("reach")).alias("base"), F.max(ring).alias("ring"), F.sort_array(F.collect_set(F.struct(F.col("rest.need").alias("need"), (-F.col("rest.w")).alias("less")))).alias("found")
-    )
-    longest = F.filter("found", lambda x, i: x["need"].isNotNull() & ((i == 0) | ~F.get("found", i - 1)["need"].eqNullSafe(x["need"])))
+    over = F.lit(jump) & (left > 0) & ((left == 1) | (left * F.col("a.n") <= MOST_EDGES))
+    rest = F.when(left == 0, F.col("t.edges")).when(over, F.transform("t.edges", lambda x: F.struct(x["need"].alias("need"), (x["w"] + F.col("a.w")).alias("w")))).otherwise(F.array(F.struct("a.need", "a.w")))
+    met = met.select("a.conv_id", "a.id", "a.base", F.when((left == 0) | over, F.col("t.base") + F.col("a.w")).otherwise(0).alias("reach"), F.col("t.ring").alias("ring"), rest.alias("rest"))
+    ring = F.col("ring") | F.exists("rest", lambda x: (x["w"] > most) | (x["need"] == F.col("id")))
+    summed = met.groupBy("conv_id", "id").agg(F.greatest(F.max("base"), F.max("reach")).alias("base"), F.max(ring).alias("ring"), F.flatten(F.collect_list("rest")).alias("found"))
+    summed = summed.withColumn("found", F.sort_array(F.transform("found", lambda x: F.struct(x["need"].alias("need"), (-x["w"]).alias("less")))))
+    longest = F.filter("found", lambda x, i: (i == 0) | (F.get("found", i - 1)["need"] != x["need"]))
     edges = F.transform(longest, lambda x: F.struct(x["need"].alias("need"), (-x["less"]).alias("w")))
     return summed.select("conv_id", "id", "base", edges.alias("edges"), "ring")
 

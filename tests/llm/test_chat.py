@@ -108,9 +108,10 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     rows += [(2, f"c{k}", [f"c{k - 1}"] if k else ["c2"]) for k in range(n)]
     rows += [(3, f"c{k}", [f"c{k - 1}", f"r{k}"] if k else []) for k in range(n)] + [(3, f"r{k}", []) for k in range(n)]
     rows += [(4, f"{s}{k}", [f"a{k - 1}", f"b{k - 1}"] if k else []) for k in range(12) for s in "ab"]
+    rows += [(6, f"c{k}", [f"c{k - j}" for j in (1, 2, 3) if k >= j]) for k in range(200)]
     rows += [(5, "p", ["q", "s"]), (5, "q", ["p", "s"]), (5, "s", ["p", "q"]), (None, "c0", []), (None, "c1", ["c0", "c5"])]
     want = {}
-    for conv in (1, 2, 3, 4, 5, None):
+    for conv in (1, 2, 3, 4, 5, 6, None):
         want |= {(conv, i): v for i, v in plain_levels({i: a for c, i, a in rows if c == conv}).items()}
     rounds = []
     whole = chat._follow
