@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakewarden.llm.blocks import text_bytes
+from lakewarden.llm.scratch import discard, stage
 from lakewarden.sources.tables import table
 
 GRAM = 4
@@ -179,17 +180,34 @@ def count_grams(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     return named.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+#: The totals of so many languages are broadcast; more meet the grams in an ordinary join.
+BROADCAST_LANGUAGES = 10_000
+
+
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least_share: float = LEAST_SHARE) -> Filters:
-    """Filters from all rows with a language. Starts a job; what it collects is bounded by languages / least_share rows."""
-    counted = count_grams(docs, text_col=text_col, lang_col=lang_col)
-    ranked = counted.groupBy("lang").agg(F.sum("n").alias("size")).withColumnRenamed("lang", "of")
-    frequent = counted.join(ranked, F.col("lang") == F.col("of")).filter(F.col("n") >= F.col("size") * least_share)
-    sets: dict[str, list[int]] = {}
-    covered: dict[str, float] = {}
-    sizes: dict[str, int] = {}
-    for row in frequent.groupBy("lang", "size").agg(F.collect_list("gram").alias("grams"), F.sum("n").alias("covered")).collect():
-        sets[row.lang], sizes[row.lang], covered[row.lang] = row.grams, row["size"], row.covered / row["size"]
-    return Filters.build({k: np.array(sorted(v), np.uint32) for k, v in sets.items()}, covered, sizes)
+    """Filters from all rows with a language. Starts jobs; what it collects is bounded by languages / least_share rows.
+
+    Grams stay where they were counted: only the totals of the languages go to
+    them, and what is frequent goes to the driver as it is. Rows without a
+    language teach nothing, nor do null texts; repeated rows count each; an
+    empty table teaches no language.
+    """
+    counted = stage(count_grams(docs, text_col=text_col, lang_col=lang_col), "language-grams")
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("size"))
+    named = totals.withColumnRenamed("lang", "of")
+    if totals.count() <= BROADCAST_LANGUAGES:
+        named = F.broadcast(named)
+    frequent = counted.join(named, F.col("lang") == F.col("of")).filter(F.col("n") >= F.col("size") * least_share)
+    found = frequent.select("lang", "gram", "n").toArrow().combine_chunks()
+    sizes = {r.lang: int(r["size"]) for r in totals.collect()}
+    discard(counted)
+    langs, codes, n = found.column("lang").to_numpy(), found.column("gram").to_numpy(), found.column("n").to_numpy()
+    kept, covered = {}, {}
+    for lang in sizes:
+        own = langs == lang
+        if own.any():
+            kept[lang], covered[lang] = np.sort(codes[own]).astype(np.uint32), float(n[own].sum()) / sizes[lang]
+    return Filters.build(kept, covered, sizes)
 
 
 def predict(docs: DataFrame, filters: Filters, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

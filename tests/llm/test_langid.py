@@ -59,3 +59,62 @@ def test_pieces_cover_all_windows(monkeypatch):
     filters = langid.Filters.build({"x": np.array(whole[:50], np.uint32)}, {"x": 0.5}, {"x": 9})
     hits, windows = filters.hits([text, b"", text[:3], text])
     assert windows.tolist() == [len(whole), 0, 0, len(whole)] and hits[0] == hits[3] and hits[0, 0] == (filters.masks(np.array(whole, np.uint32))[:, 0] & 1).sum()
+
+
+def plain_predictions(train, texts, least_share):
+    """Counts, threshold and decision with plain dictionaries: exact sets in place of filters, so no false positives to correct."""
+    import collections
+    import re
+
+    def fold(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        words = re.sub(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+", " ", low).split(" ")
+        words = [w for w in words if w]
+        return (" " + " ".join(words) + " ").encode() if words else b""
+
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in train:
+        if lang is not None:
+            t = fold(text)
+            counts[lang].update(t[i : i + 4] for i in range(len(t) - 3))
+    sets, cover = {}, {}
+    for lang, c in counts.items():
+        total = sum(c.values())
+        sets[lang] = {g for g, n in c.items() if n >= total * least_share}
+        cover[lang] = sum(c[g] for g in sets[lang]) / total
+    out = []
+    for text in texts:
+        t = fold(text)
+        if not any(c.isalpha() for c in t.decode()):
+            out.append(("und", {}))
+            continue
+        grams = [t[i : i + 4] for i in range(len(t) - 3)]
+        points = {lang: sum(g in sets[lang] for g in grams) / max(len(grams), 1) / cover[lang] for lang in sorted(sets)}
+        out.append((max(points, key=points.get) if any(points.values()) else max(counts, key=lambda x: sum(counts[x].values())), points))
+    return out
+
+
+def test_query_against_plain_counts(spark):
+    """The registered query's rule on a whole small table: filters add false positives only, which the correction takes out again."""
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: r.held_out for r in langid.op6_language(spark, folder).collect()}
+    import zlib
+
+    assert held == {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    want = plain_predictions([(r.text, r.lang) for r in rows if not held[r.doc_id]], [r.text for r in rows], langid.LEAST_SHARE)
+    got = {r.doc_id: r for r in langid.op6_language(spark, folder).collect()}
+    for r, (lang, points) in zip(rows, want):
+        ranked = sorted(points.values(), reverse=True)
+        if len(ranked) > 1 and ranked[0] - ranked[1] < 0.01:
+            continue  # a tie but for the correction
+        assert got[r.doc_id].lang_pred == lang
+        if points and sum(ranked):
+            assert abs(got[r.doc_id].score - ranked[0] / sum(ranked)) < 0.05
+
+
+def test_hot_language(spark):
+    """Grams are not gathered by language: no exchange is dealt by it after counting."""
+    docs = spark.range(200).selectExpr("id as doc_id", "concat('der hund und die katze ', id) as text", "if(id < 190, 'de', 'en') as lang")
+    filters = langid.learn(docs, least_share=0.0)
+    assert filters.languages == ["de", "en"] and filters.coverage.tolist() == [1.0, 1.0] and filters.default == 0
