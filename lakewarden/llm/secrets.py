@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Base patterns are searched as bytes, each only where a cheap test says it may
-occur. The method adds spans: every maximal run of token characters that no
-base span touches is scored by two character models of order 1, one of random
-strings and one of ordinary identifiers, and is reported if the logarithm of
-their ratio says random. Both models are fitted on the driver to a bounded,
-labelled sample drawn by a fixed seed (``SAMPLE`` strings of either kind).
+occur. The method adds spans: in every maximal run of token characters that no
+base span touches, characters are scored by two models of order 1, one of random
+strings and one of ordinary identifiers, and the part whose log-likelihood ratio
+is greatest is reported if it says random surely enough. Base spans are scored
+too. Both models are fitted on the driver to a bounded, labelled sample drawn by
+a fixed seed (``SAMPLE`` strings of either kind).
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 STEMS = (b"passw", b"secret", b"token", b"api")
 
-#: Runs the models look at, and how sure they must be: total nats, and nats a character.
-RUN_LEAST, SURE, SURE_EACH = 20, 18.0, 0.45
+#: Shortest string the models report, and how sure they must be: total nats, nats a character, and what a character must bring.
+RUN_LEAST, SURE, SURE_EACH, DRIFT = 12, 15.0, 0.45, 0.2
+#: Separators that are no part of a string at its ends.
+EDGES = b"=-_/"
 #: Labelled strings of either kind that the models are fitted to.
 SAMPLE, SEED = 6000, 17
 TOKEN_CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
@@ -97,36 +100,60 @@ def ratio() -> np.ndarray:
     return _fit([randomised(dice) for _ in range(SAMPLE)]) - _fit(plain)
 
 
-def looks_random(run: bytes, table_: np.ndarray) -> bool:
-    """Whether a whole run is better explained as a random string."""
-    codes = np.frombuffer(run.strip(b"=-_/"), np.uint8)
-    if len(codes) < RUN_LEAST:
-        return False
-    score = float(table_[np.concatenate(([0], codes[:-1])), codes].sum())
-    return score >= SURE and score >= SURE_EACH * len(codes)
+def ratios(run: bytes, table_: np.ndarray) -> np.ndarray:
+    """The log ratio of every character of a run, given the one before it."""
+    codes = np.frombuffer(run, np.uint8)
+    return table_[np.concatenate(([0], codes[:-1])), codes]
 
 
-def scan(text: bytes | None, table_: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) in code points, sorted: base spans of the whole text and spans that the models add."""
+def best_part(run: bytes, table_: np.ndarray) -> tuple[int, int, float] | None:
+    """Start, end and score of the part of a run that most surely is a random string, if it is sure enough.
+
+    Characters count by their log ratio less ``DRIFT``; the part of greatest sum
+    is the one between two prefix sums, so a key inside a longer ordinary run is
+    found, and a run is read once. Separators at its ends are left out.
+    """
+    each = ratios(run, table_)
+    sums = np.concatenate(([0.0], np.cumsum(each - DRIFT)))
+    end = int(np.argmax(sums - np.minimum.accumulate(sums)))
+    start = int(np.argmin(sums[: end + 1]))
+    part = run[start:end]
+    start, end = start + len(part) - len(part.lstrip(EDGES)), end - len(part) + len(part.rstrip(EDGES))
+    score = float(each[start:end].sum())
+    return (start, end, score) if end - start >= RUN_LEAST and score >= SURE and score >= SURE_EACH * (end - start) else None
+
+
+def scan(text: bytes | None, table_: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(start, kind number, end, score) in code points, sorted: base spans of the whole text and spans that the models add.
+
+    The score is the log-likelihood ratio of the span, of an assignment that of
+    its value. Runs that no base span touches are looked at; both are in order,
+    so a text is read once however many there are.
+    """
     text = text or b""
-    found: list[tuple[int, int, int]] = []
+    found: list[tuple[int, int, int, float]] = []
     low = text.lower()
+    score = lambda value: float(ratios(value, table_).sum())
     if any(s in low for s in STEMS):
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= ASSIGN_LEAST]
+        found += [(m.start(), 0, m.end(), score(m[1])) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= ASSIGN_LEAST]
     if b"AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
+        found += [(m.start(), 1, m.end(), score(m[0])) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     hexes = text.translate(HEX_MASK)
     if b"1" * HEX_LEAST in hexes:
-        found += [(m.start(), 2, m.end()) for m in HEX_RUN.finditer(hexes)]
+        found += [(m.start(), 2, m.end(), score(text[m.start() : m.end()])) for m in HEX_RUN.finditer(hexes)]
     if b"1" * RUN_LEAST in text.translate(RUN_MASK):
-        base = list(found)
+        base, at, reached = sorted((s, e) for s, _, e, _ in found), 0, 0
         for m in RUN.finditer(text):
-            if all(e <= m.start() or m.end() <= s for s, _, e in base) and looks_random(m[0], table_):
-                found.append((m.start(), 3, m.end()))
+            while at < len(base) and base[at][0] < m.end():
+                reached = max(reached, base[at][1])
+                at += 1
+            # Spans that begin before the run's end are behind; one of them touches the run if any reaches beyond its start.
+            if reached <= m.start() and (part := best_part(m[0], table_)):
+                found.append((m.start() + part[0], 3, m.start() + part[1], part[2]))
     if found and not text.isascii():
-        marks = sorted({x for s, _, e in found for x in (s, e)})
-        at = dict(zip(marks, _points(text, marks)))
-        found = [(at[s], k, at[e]) for s, k, e in found]
+        marks = sorted({x for s, _, e, _ in found for x in (s, e)})
+        at_ = dict(zip(marks, _points(text, marks)))
+        found = [(at_[s], k, at_[e], x) for s, k, e, x in found]
     return sorted(found)
 
 
@@ -137,21 +164,21 @@ def _points(text: bytes, marks: list[int]) -> list[int]:
 
 
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id and spans, an array of (kind, start, end) by start, then kind.
+    """Per row: doc_id and spans, an array of (kind, start, end, score) by start, then kind.
 
     A null or empty text has no span; repeated rows are scanned each; texts are
     scanned whole; an empty table gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratio())
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t, shared.value)] for t in text_bytes(batch.column(1))]
+            spans = [[{"kind": KINDS[k], "start": s, "end": e, "score": x} for s, k, e, x in scan(t, shared.value)] for t in text_bytes(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind: string, start: bigint, end: bigint, score: double>>")
 
 
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,7 +186,8 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
-    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 QUERIES = {"op4_secrets": op4_secrets}
