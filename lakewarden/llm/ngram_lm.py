@@ -8,14 +8,18 @@ every word of the corpus:
 * *blocks*: documents are coded in blocks of about ``BLOCK_WORDS`` words - the
   hashes of the block's different words, and word numbers;
 * *count tables*: a block sends each hash partition one row with the sorted
-  hashes and counts of the different n-grams it holds there. A partition adds
-  them up, an n-gram that is frequent everywhere being one entry a block, and
-  answers every block in the order it asked;
+  hashes and counts of the different n-grams, of all orders, that it holds there.
+  A partition adds them up, an n-gram that is frequent everywhere being one entry
+  a block, and answers every block in the order it asked;
 * *join*: a block and its answers meet by block number and give one row a
   document.
 
 The number of partitions follows the corpus, so that a partition holds about
-``PART_GRAMS`` entries at any size.
+``PART_GRAMS`` entries at any size. Rows are blocks times partitions, so the
+entries of a row get fewer as the corpus grows. Where they would be fewer than
+``LEAST_ENTRIES``, packing gains nothing, and the tables are made of plain rows,
+one for each different n-gram of a block, which grow with the words only. The
+scores are the same.
 """
 
 from __future__ import annotations
@@ -34,10 +38,13 @@ from lakewarden.llm.scratch import stage
 from lakewarden.sources.tables import table
 
 BACKOFF = 0.4
-#: Bigrams seen less often than this count as unseen.
+#: N-grams of two or more words seen less often than this count as unseen.
 LEAST_COUNT = 2
 BLOCK_WORDS = 500_000
-PART_GRAMS = 500_000
+PART_GRAMS = 1_000_000
+#: Entries of a packed row at least; below, n-grams are counted as rows of their own.
+LEAST_ENTRIES = 16
+ORDER = 2
 #: Bytes of text coded at a time.
 SLICE_BYTES = 4 << 20
 
@@ -45,7 +52,7 @@ BLOCK_FIELDS = "block long, doc_ids array<long>, sizes array<long>, words binary
 
 
 def _mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """64-bit hash of word pairs from the hashes of the words; order counts."""
+    """64-bit hash of an n-gram from that of all but its last word and that of its last; order counts."""
     x = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ second >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
@@ -106,23 +113,50 @@ def code_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 class _Grams:
-    """The different n-grams of a block: their hashes in ascending order, counts, and where each word's are."""
+    """The different n-grams of a block, those of each order numbered, with their hashes and counts."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, order: int):
         self.sizes = np.array(row["sizes"], np.int64)
         words, numbers = np.frombuffer(row["words"], np.uint64), np.frombuffer(zstandard.decompress(row["numbers"]), np.uint32).astype(np.int64)
-        ends = np.cumsum(self.sizes)
-        self.opens = np.zeros(len(numbers) + 1, bool)
-        self.opens[ends - self.sizes] = True
-        self.opens = self.opens[:-1]  # words that open a document
-        pairs = np.flatnonzero(~self.opens)
-        codes = numbers[pairs - 1] * max(len(words), 1) + numbers[pairs]
-        unique, self.pair_at, counts = np.unique(codes, return_inverse=True, return_counts=True)
-        first, second = np.divmod(unique, max(len(words), 1))
-        self.pairs, self.numbers = pairs, numbers
-        self.hashes = [words, _mix(words[first], words[second])]
-        self.counts = [np.bincount(numbers, minlength=len(words)), counts]
-        self.order = [np.argsort(h, kind="stable") for h in self.hashes]
+        starts = np.cumsum(self.sizes) - self.sizes
+        place = np.arange(len(numbers)) - np.repeat(starts, self.sizes)  # of a word in its document
+        #: For each order, where its n-grams end and the number of the n-gram that ends there.
+        self.ends, self.own = [np.arange(len(numbers))], [numbers]
+        hashes, counts = [words], [np.bincount(numbers, minlength=len(words))]
+        number = numbers
+        for k in range(1, order):
+            ends = np.flatnonzero(place >= k)
+            unique, own, n = np.unique(number[ends - 1] * max(len(words), 1) + numbers[ends], return_inverse=True, return_counts=True)
+            first, second = np.divmod(unique, max(len(words), 1))
+            hashes.append(_mix(hashes[-1][first], words[second]))
+            counts.append(n)
+            number = np.full(len(numbers), -1, np.int64)
+            number[ends] = own
+            self.ends.append(ends)
+            self.own.append(own)
+        self.starts = np.cumsum([0, *map(len, hashes)])
+        whole = np.concatenate(hashes)
+        self.by_hash = np.argsort(whole, kind="stable")
+        self.hashes, self.counts = whole[self.by_hash], np.concatenate(counts)[self.by_hash]
+
+    def log_scores(self, totals: np.ndarray, words: int, backoff: float, least_count: int) -> tuple[np.ndarray, np.ndarray]:
+        """log10 score and number of steps back of every word; ``totals`` are the corpus counts by ascending hash."""
+        ordered = np.empty(len(totals), np.int64)
+        ordered[self.by_hash] = totals
+        count = [ordered[a:b] for a, b in zip(self.starts, self.starts[1:])]
+        n = len(self.own[0])
+        score, steps = np.log10(count[0][self.own[0]] / max(words, 1)), np.zeros(n, np.int64)
+        before = np.zeros(n, np.int64)  # counts of the n-grams of the order below by where they end
+        before[:] = count[0][self.own[0]]
+        for k in range(1, len(self.own)):
+            ends, found = self.ends[k], count[k][self.own[k]]
+            seen = found >= least_count
+            steps[ends] += 1
+            score[ends] += np.log10(backoff)
+            score[ends[seen]], steps[ends[seen]] = np.log10(found[seen] / before[ends[seen] - 1]), 0
+            before = np.zeros(n, np.int64)
+            before[ends] = found
+        return score, steps
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -138,27 +172,17 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def count_tables(blocks: DataFrame, parts: int) -> DataFrame:
-    """(block, gram, part, totals): counts over the whole corpus of the n-grams a block holds in a partition, by ascending hash."""
+def count_tables(blocks: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
+    """(block, part, totals): counts over the whole corpus of the n-grams a block holds in a partition, by ascending hash."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # a block at a time
-                row = batch.slice(k, 1).to_pylist()[0]
-                grams = _Grams(row)
-                for n in (0, 1):
-                    order = grams.order[n]
-                    hashes, counts = grams.hashes[n][order], grams.counts[n][order]
-                    part = _part(hashes, parts)
-                    cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                    ends = np.append(cuts[1:], len(part))
-                    yield pa.record_batch(
-                        [
-                            pa.array(part[cuts] * 2 + n), pa.array([row["block"]] * len(cuts), pa.int64()),
-                            pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([_pack(counts[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
-                        ],
-                        names=["part", "block", "hashes", "counts"],
-                    )
+        for number, grams in _each_block(batches, order):
+            part = _part(grams.hashes, parts)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(cuts[1:], len(part))
+            hashes = pa.array([grams.hashes[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())
+            counts = pa.array([_pack(grams.counts[a:b]) for a, b in zip(cuts, ends)], pa.binary())
+            yield pa.record_batch([pa.array(part[cuts]), pa.array([number] * len(cuts), pa.int64()), hashes, counts], names=["part", "block", "hashes", "counts"])
 
     def answer(asked: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(h, np.uint64) for h in asked.column("hashes").to_pylist()]
@@ -173,40 +197,65 @@ def count_tables(blocks: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(answer, "block long, part long, totals binary")
 
 
-def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, part_grams: int = PART_GRAMS, backoff: float = BACKOFF, least_count: int = LEAST_COUNT) -> DataFrame:
-    """Per row: doc_id, n_words, n_backoff, log_score (sum of log10 scores of its words).
+def _each_block(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[int, _Grams]]:
+    for batch in batches:
+        for k in range(batch.num_rows):  # a block at a time
+            row = batch.slice(k, 1).to_pylist()[0]
+            yield row["block"], _Grams(row, order)
+
+
+#: Entries of a piece of a block where n-grams are rows.
+PIECE = 65_536
+
+
+def plain_count_tables(blocks: DataFrame, order: int = ORDER) -> DataFrame:
+    """As :func:`count_tables`, by rows: each different n-gram of a block is one, counted by an ordinary aggregate and joined back."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, grams in _each_block(batches, order):
+            for a in range(0, len(grams.hashes), PIECE):
+                hashes = grams.hashes[a : a + PIECE].view(np.int64)
+                place = np.arange(len(hashes), dtype=np.int32)
+                columns = [np.full(len(hashes), number), np.full(len(hashes), a // PIECE), place, hashes, grams.counts[a : a + PIECE]]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["block", "part", "place", "hash", "n"])
+
+    def pack(found: pa.Table) -> pa.Table:
+        totals = np.empty(found.num_rows, np.int64)
+        totals[found.column("place").to_numpy()] = found.column("n").to_numpy()
+        return pa.table([found.column("block").slice(0, 1), found.column("part").slice(0, 1), pa.array([_pack(totals)], pa.binary())], names=["block", "part", "totals"])
+
+    grams = blocks.select("block", "sizes", "words", "numbers").mapInArrow(rows, "block long, part long, place int, hash long, n long")
+    totals = grams.groupBy("hash").agg(F.sum("n").alias("n"))
+    return grams.drop("n").join(totals, "hash").groupBy("block", "part").applyInArrow(pack, "block long, part long, totals binary")
+
+
+def scores(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_words: int = BLOCK_WORDS, part_grams: int = PART_GRAMS, backoff: float = BACKOFF, least_count: int = LEAST_COUNT,
+) -> DataFrame:
+    """Per row: doc_id, n_words, n_backoff (steps back), log_score (sum of log10 scores of its words).
 
-    The first word of a document scores its share of all words; another one the
-    share of its bigram among those that begin alike if the bigram was seen
-    ``least_count`` times in the corpus, else ``backoff`` times its share of all
-    words. A row without words, null ones too, scores 0 over 0 words; repeated
-    rows count and are scored each; an empty table gives an empty result; other
-    columns are ignored.
-    """
+    A word scores the share of the longest n-gram of up to ``order`` words that
+    ends with it among those that begin alike, if it was seen ``least_count``
+    times in the corpus, else ``backoff`` times what one word less of context
+    gives; without context its share of all words. N-grams do not reach over the
+    beginning of a document. A row without words, null ones too, scores 0 over 0
+    words; repeated rows count and are scored each; an empty table gives an empty
+    result; other columns are ignored.
+    """
     blocks = code_blocks(docs, id_col=id_col, text_col=text_col, block_words=block_words)
-    words = blocks.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-words // part_grams))
-    answers = stage(count_tables(blocks, parts), "lm-counts")
+    found = blocks.agg(F.sum("n").alias("words"), F.count("*").alias("blocks")).first()
+    words = found.words or 0
+    parts = max(1, -(-words * order // (2 * part_grams)))
+    packed = parts == 1 or found.blocks * parts * LEAST_ENTRIES <= words * order
+    answers = stage(count_tables(blocks, parts, order) if packed else plain_count_tables(blocks, order), "lm-counts")
 
     def join(key, block: pa.Table, answered: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        grams = _Grams(row)
-        got = sorted((r["part"], r["totals"]) for r in answered.to_pylist())
-        totals = []
-        for n in (0, 1):
-            flat = np.concatenate([np.zeros(0, np.int64), *(_unpack(t) for p, t in got if p % 2 == n)])
-            ordered = np.empty(len(flat), np.int64)
-            ordered[grams.order[n]] = flat
-            totals.append(ordered)
-        single = totals[0][grams.numbers]
-        each = np.log10(single / max(words, 1)) + np.where(grams.opens, 0.0, np.log10(backoff))
-        pair = totals[1][grams.pair_at] if len(grams.pairs) else np.zeros(0, np.int64)
-        seen = pair >= least_count
-        each[grams.pairs[seen]] = np.log10(pair[seen] / single[grams.pairs[seen] - 1])
-        missed = np.zeros(len(each), np.int64)
-        missed[grams.pairs[~seen]] = 1
+        grams = _Grams(row, order)
+        totals = np.concatenate([np.zeros(0, np.int64), *(_unpack(t) for _, t in sorted((r["part"], r["totals"]) for r in answered.to_pylist()))])
+        each, steps = grams.log_scores(totals, words, backoff, least_count)
         ends = np.cumsum(grams.sizes)
-        back = np.concatenate(([0], np.cumsum(missed)))
+        back = np.concatenate(([0], np.cumsum(steps)))
         sums = [float(each[a:b].sum()) for a, b in zip((ends - grams.sizes).tolist(), ends.tolist())]
         return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(grams.sizes), pa.array(back[ends] - back[ends - grams.sizes]), pa.array(sums, pa.float64())], names=["doc_id", "n_words", "n_backoff", "log_score"])
 
