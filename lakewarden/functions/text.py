@@ -68,6 +68,11 @@ def joined_labels(labels: Column) -> Column:
     return F.array_join(F.filter(F.transform(labels, strip), lambda x: x != ""), "; ")
 
 
+def option_list(value: Column) -> Column:
+    """Options between commas: stripped, empty ones dropped, null as none."""
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), strip), lambda x: x != "")
+
+
 def approximate_tokens(text: Column) -> Column:
     return F.floor(F.char_length(text) / 4).cast("long")
 

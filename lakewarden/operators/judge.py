@@ -138,6 +138,26 @@ def reconcile(asked: DataFrame, success: DataFrame, errors: DataFrame, key: str
     return ok.unionByName(failed, allowMissingColumns=True).unionByName(missing, allowMissingColumns=True)
 
 
+def outcomes(asked: DataFrame, output: DataFrame, errors: DataFrame) -> DataFrame:
+    """Every asked id of a batch: ``output`` and ``errors`` are parsed lines (``parse_responses``) of the two result files.
+
+    A line with status 200 and a text is a success; other lines of either file
+    are errors, unless the id also succeeded; ids in neither file are missing.
+    """
+    good = (F.coalesce("status_code", F.lit(0)) == 200) & F.col("line_error").isNull()
+    bad = output.filter(~good).select("node_id", F.coalesce("line_error", F.concat(F.lit("status "), F.coalesce(F.col("status_code").cast("string"), F.lit("none")))).alias("reason"))
+    bad = bad.unionByName(errors.select("node_id", F.coalesce("line_error", F.lit("in the error file")).alias("reason")))
+    bad = bad.groupBy("node_id").agg(F.min("reason").alias("reason"))
+    return reconcile(asked.select("node_id"), output.filter(good).select("node_id", "output_text"), bad)
+
+
+def batch_ready(state: str) -> bool:
+    """Whether a batch's results can be fetched; a state that has not ended, or ended badly, is an error."""
+    if state == "completed":
+        return True
+    raise ValueError(f"the batch is {state}")
+
+
 def pending(asked: DataFrame, done: DataFrame | None, key: str = "node_id", order: str = "example_num", limit: int | None = None) -> DataFrame:
     """Asked rows without a result, the first ``limit`` in order."""
     left = asked if done is None else asked.join(done.select(key), key, "left_anti")
@@ -145,10 +165,17 @@ def pending(asked: DataFrame, done: DataFrame | None, key: str = "node_id", orde
 
 
 def merge_retry(base: DataFrame, retry: DataFrame, key: str = "node_id", identity: Sequence[str] = IDENTITY) -> DataFrame:
-    """Base rows with every column but the identity taken from the retry where the retry has the row - empty values too."""
+    """Base rows with every column but the identity taken from the retry where the retry has the row - empty values too.
+
+    An id that the retry repeats is an error when the rows are computed; ids that
+    the base lacks are found by ``unknown_retries``.
+    """
     if list(base.columns) != list(retry.columns):
         raise ValueError("base and retry have different columns")
-    fresh = retry.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in base.columns if c not in identity])
+    own = [c for c in base.columns if c not in identity]
+    grouped = retry.groupBy(key).agg(F.count("*").alias("_n"), F.max(F.struct(*own)).alias("_r"))
+    once = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("repeated retry id: "), F.col(key).cast("string"))).cast("boolean"))
+    fresh = grouped.select(F.col(key), once.alias("_hit"), *[F.col(f"_r.{c}").alias(f"_{c}") for c in own])
     joined = base.join(fresh, key, "left")
     return joined.select(*[F.col(c) if c in identity else F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in base.columns])
 
@@ -181,12 +208,33 @@ def unknown_labels(taxonomies: Column) -> Column:
     return F.array_except(F.filter(F.split(taxonomies, "; "), lambda x: x != ""), F.array(*[F.lit(t) for t in TAXONOMIES]))
 
 
+# Codes and severities that the judge may give, and how many labels of a kind.
+OWASP = tuple(f"LLM{k:02d}" for k in range(1, 11))
+SEVERITIES = tuple("012345")
+MOST_LABELS = 3
+
+
+def label_faults(taxonomies: Column, codes: Column, severity: Column) -> Column:
+    """What breaks the domain that judges are told, as names: none for a row that keeps to it."""
+    listed = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), "; "), lambda x: x != "")
+    known = lambda names: F.array(*[F.lit(n) for n in names])
+    faults = [
+        ("taxonomy", F.size(F.array_except(listed(taxonomies), known(TAXONOMIES))) > 0), ("owasp", F.size(F.array_except(listed(codes), known(OWASP))) > 0), ("severity", ~F.coalesce(severity, F.lit("")).isin(*SEVERITIES)),
+        ("many_taxonomies", F.size(listed(taxonomies)) > MOST_LABELS), ("many_codes", F.size(listed(codes)) > MOST_LABELS), ("other_with_more", F.array_contains(listed(taxonomies), "other") & (F.size(listed(taxonomies)) > 1)),
+    ]
+    return F.array_compact(F.array(*[F.when(test, name) for name, test in faults]))
+
+
 def severity_text(value: Column) -> Column:
-    """Any spelling of a whole number as its digits, else empty."""
+    """Any spelling of a whole number as its digits, else empty; a number that is not whole is an error."""
     number = value.try_cast("double")
-    return F.coalesce(number.try_cast("bigint").cast("string"), F.lit(""))
+    whole = F.coalesce(number.try_cast("bigint").cast("string"), F.lit(""))
+    return F.when(number != F.floor(number), F.raise_error(F.concat(F.lit("severity is no whole number: "), value))).otherwise(whole)
 
 
-def binary_label(severity: Column) -> Column:
-    """1 for severities 3, 4, 5."""
-    return severity.isin("3", "4", "5").cast("long")
+def binary_label(severity: Column, strict: bool = False) -> Column:
+    """1 for severities 3, 4, 5; with ``strict`` anything but these and 0 is an error, as training data must be."""
+    label = severity.isin("3", "4", "5").cast("long")
+    if not strict:
+        return label
+    return F.when(F.coalesce(severity, F.lit("")).isin("0", "3", "4", "5"), label).otherwise(F.raise_error(F.concat(F.lit("severity outside 0, 3, 4, 5: "), F.coalesce(severity, F.lit("null")))).cast("long"))

@@ -41,7 +41,7 @@ def distribution(units: DataFrame, scope: str) -> DataFrame:
     sets = units.groupingSets([["language"], ["language", "node_type"]], "language", "node_type")
     counted = sets.agg(F.count("*").alias("n_units"), F.sum("n_chars").cast("long").alias("n_chars"), F.grouping("node_type").alias("g"))
     group = Window.partitionBy("node_type", "g")
-    share = lambda c: F.when(F.sum(c).over(group) > 0, F.round(F.col(c) * 100.0 / F.sum(c).over(group), 4))
+    share = lambda c: F.when(F.sum(c).over(group) > 0, F.bround(F.col(c) * 100.0 / F.sum(c).over(group), 4))
     return counted.select(F.lit(scope).alias("scope"), F.when(F.col("g") == 1, "all").otherwise(F.col("node_type")).alias("node_type"), "language", "n_units", share("n_units").alias("pct_units"), "n_chars", share("n_chars").alias("pct_chars"))
 
 

@@ -8,15 +8,33 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakewarden.functions.vectors import as_double, dot, unit
 from lakewarden.operators import chunks
+from lakewarden.operators.contracts import require_none
+from lakewarden.operators.language import window_language
 from lakewarden.operators.metrics import class_weights
+from lakewarden.operators.vectors import centroids
 
 
-def encode(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], Sequence]], batch: int = 128) -> DataFrame:
-    """Adds ``vector`` by a model that ``load`` opens once in each Python worker; texts go to it in batches through Arrow."""
+def detect_language(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], Sequence[str | None]]], min_chars: int = 0, batch: int = 1024) -> DataFrame:
+    """Adds ``language`` by a detector that ``load`` opens once in each Python worker: ISO codes, ``und`` for short texts and where it says nothing."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        detector = load()
+        for part in parts:
+            texts, out = part.fillna("").tolist(), []
+            for at in range(0, len(texts), batch):
+                out.extend(None if code is None else code.lower() for code in detector(texts[at : at + batch]))
+            yield pd.Series(out, dtype="object")
+
+    return df.withColumn("language", window_language(run(F.col(text)), F.char_length(F.coalesce(F.col(text), F.lit(""))), min_chars))
+
+
+def encode(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], Sequence]], batch: int = 128, normalize: bool = True) -> DataFrame:
+    """Adds ``vector``, of unit length if ``normalize``, by a model that ``load`` opens once in each Python worker; texts go to it in batches through Arrow."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -27,7 +45,8 @@ def encode(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], Se
                 out.extend(list(v) for v in model(texts[at : at + batch]))
             yield pd.Series(out)
 
-    return df.withColumn("vector", run(F.col(text)))
+    made = df.withColumn("vector", run(F.col(text)))
+    return made.withColumn("vector", unit(as_double(F.col("vector"))).cast("array<float>")) if normalize else made
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
@@ -45,6 +64,9 @@ def hashed_vectors(df: DataFrame, key: str, text: str, dimensions: int = 64) ->
     return packed.select(key, unit(cells).alias("vector"))
 
 
+HEAD = "bias double, weights array<double>"
+
+
 def sigmoid(margin: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-margin))
 
@@ -63,8 +85,28 @@ def train_head(df: DataFrame, vector: str, label: str, reg: float = 0.01, iterat
 
 
 def apply_head(model, df: DataFrame, vector: str) -> DataFrame:
-    """Adds ``p`` by the model's weights, natively; a head of other width is refused."""
-    return head_scores(df, vector, model.coefficients.toArray().tolist(), model.intercept)
+    """Adds ``p`` by the model's weights, natively; a head of other width is refused (a job looks at the widths)."""
+    weights = model.coefficients.toArray().tolist()
+    require_width(df, vector, len(weights))
+    return head_scores(df, vector, weights, model.intercept)
+
+
+def require_width(df: DataFrame, vector: str, width: int) -> None:
+    """Every vector has ``width`` dimensions, else an error: a product with another would silently be null."""
+    require_none(df.filter(F.size(vector) != width).select(F.size(vector).alias("width")).distinct(), f"vectors of other width than the head's {width}")
+
+
+def save_head(model, spark: SparkSession, path: str, overwrite: bool = False) -> None:
+    """A head as one row: bias and weights."""
+    row = [(float(model.intercept), [float(x) for x in model.coefficients.toArray()])]
+    spark.createDataFrame(row, HEAD).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+
+
+def apply_saved_head(df: DataFrame, vector: str, path: str) -> DataFrame:
+    """Adds ``p`` by a saved head, which has to fit the vectors."""
+    head = df.sparkSession.read.schema(HEAD).parquet(path).first()
+    require_width(df, vector, len(head.weights))
+    return head_scores(df, vector, head.weights, head.bias)
 
 
 def cross_validate(df: DataFrame, vector: str, label: str, fold: str, k: int, test: DataFrame | None = None, **options) -> DataFrame:
@@ -82,16 +124,24 @@ def cross_validate(df: DataFrame, vector: str, label: str, fold: str, k: int, te
 
 
 def cosine_kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int = 42, iterations: int = 25) -> DataFrame:
-    """(key, cluster, similarity): spherical k-means; k is clamped to 1..rows; similarity to the unit centre."""
-    n = df.count()
-    k = max(1, min(k, n))
-    rows = df.select(key, array_to_vector(unit(as_double(F.col(vector)))).alias("features"))
+    """(key, cluster, similarity): spherical k-means; k is clamped to 1..rows; similarity to the unit centre.
+
+    A zero vector has no direction: it trains nothing and is in cluster 0 at
+    similarity 0. Rows without a vector are left out.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(key, unit(as_double(F.col(vector))).alias("v"))
+    pointing = rows.filter(F.exists("v", lambda x: x != 0))
+    lost = rows.filter(~F.exists("v", lambda x: x != 0)).select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("similarity"))
+    k = max(1, min(k, pointing.count()))
+    features = pointing.select(key, array_to_vector("v").alias("features"))
     if k == 1:
-        return rows.select(key, F.lit(0).alias("cluster"), F.lit(1.0).alias("similarity"))
-    model = KMeans(k=k, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(rows)
+        centre = centroids(pointing.withColumn("one", F.lit(1)), "one", "v").select("centroid")
+        placed = pointing.crossJoin(F.broadcast(centre)).select(key, F.lit(0).alias("cluster"), dot(F.col("v"), F.col("centroid")).alias("similarity"))
+        return placed.unionByName(lost)
+    model = KMeans(k=k, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(features)
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    placed = model.transform(rows).select(key, F.col("prediction").alias("cluster"), vector_to_array("features").alias("v"))
-    return placed.select(key, "cluster", dot(F.col("v"), unit(F.get(centres, F.col("cluster")))).alias("similarity"))
+    placed = model.transform(features).select(key, F.col("prediction").alias("cluster"), vector_to_array("features").alias("v"))
+    return placed.select(key, "cluster", dot(F.col("v"), unit(F.get(centres, F.col("cluster")))).alias("similarity")).unionByName(lost)
 
 
 def check_contract(config: dict, published: dict, reported: Sequence[str] = ("batch_size", "device")) -> list[str]:

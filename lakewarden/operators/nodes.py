@@ -58,7 +58,7 @@ def comments(df: DataFrame, max_chars: int = 0) -> DataFrame:
     parent = F.nullif(F.regexp_replace(_text(df, COMMENT["parent"], ""), "^t3_", ""), F.lit(""))
     base = df.select(
         _text(df, COMMENT["id"], "").alias("source_id"), _text(df, COMMENT["text"], "").alias("text"), T.utc_time(_text(df, COMMENT["created"])).alias("created_at"), _text(df, COMMENT["author"]).alias("author_id"),
-        parent.alias("parent_source_id"), _whole(df, COMMENT["depth"], F.lit(None).cast("long")).alias("depth"), _whole(df, COMMENT["replies"], F.lit(0).cast("long")).alias("reply_count"), *[c.alias(k) for k, c in _votes(df).items()],
+        parent.alias("parent_source_id"), _whole(df, COMMENT["depth"], F.lit(0).cast("long")).alias("depth"), _whole(df, COMMENT["replies"], F.lit(0).cast("long")).alias("reply_count"), *[c.alias(k) for k, c in _votes(df).items()],
     )
     made = base.withColumns({
         "node_id": F.concat(F.lit("comment:"), "source_id"), "conversation_id": F.coalesce("parent_source_id", "source_id"), "node_type": F.lit("comment"), "submolt_name": F.lit(None).cast("string"), "title": F.lit(None).cast("string"),

@@ -48,10 +48,17 @@ def unassigned(scored: DataFrame, score: str = "max_similarity") -> DataFrame:
     return scored.agg(F.count_if(stratum(F.col(score)).isNull()).alias("n_unassigned"))
 
 
+def last_of(df: DataFrame, key: str, *values: str) -> DataFrame:
+    """One row a key with the values of its last row in the order in which the table is read."""
+    numbered = df.select(key, F.struct(*values).alias("_v"), F.monotonically_increasing_id().alias("_n"))
+    return numbered.groupBy(key).agg(F.max_by("_v", "_n").alias("_v")).select(key, "_v.*")
+
+
 def top_matches(scored: DataFrame, n: int, nodes: DataFrame | None = None, dictionary: DataFrame | None = None, score: str = "max_similarity") -> DataFrame:
     """The n best rows with rank, and title, text and nearest_attack_text where their tables are given (null columns elsewhere).
 
-    A top-n keeps n rows a task; only those are joined.
+    A top-n keeps n rows a task; only those are joined. Of a threat_id that the
+    dictionary repeats, the last row counts.
     """
     best = scored.orderBy(F.col(score).desc(), "node_id").limit(n)
     best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), "node_id")))
@@ -60,7 +67,8 @@ def top_matches(scored: DataFrame, n: int, nodes: DataFrame | None = None, dicti
     else:
         best = best.withColumns({"title": F.lit(None).cast("string"), "text": F.lit(None).cast("string")})
     if dictionary is not None:
-        return best.join(dictionary.select(F.col("threat_id").alias("nearest_threat_id"), F.substring("attack_text", 1, 160).alias("nearest_attack_text")), "nearest_threat_id", "left")
+        last = last_of(dictionary, "threat_id", "attack_text")
+        return best.join(last.select(F.col("threat_id").alias("nearest_threat_id"), F.substring("attack_text", 1, 160).alias("nearest_attack_text")), "nearest_threat_id", "left")
     return best.withColumn("nearest_attack_text", F.lit(None).cast("string"))
 
 

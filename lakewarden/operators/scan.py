@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakewarden.operators import nodes as N, vectors as V
+from lakewarden.operators.report import last_of
 
 TRIGGER = ("start_token", "end_token", "text")
 
@@ -34,7 +35,7 @@ def contrast(windows: DataFrame, prototypes: DataFrame, nodes: DataFrame, thresh
 def nearest(windows: DataFrame, references: DataFrame, nodes: DataFrame, k: int, thresholds: Sequence[float], labels: DataFrame | None = None) -> DataFrame:
     """Windows by their k nearest references (threat_id, vector): example mode, or cluster mode with centres for references.
 
-    labels (threat_id, category, source) is looked up for the nearest one; without a match both are empty.
+    labels (threat_id, category, source) is looked up for the nearest one, the last row of a repeated id; without a match both are empty.
     """
     keyed = windows.withColumn("_window", F.concat_ws("#", "node_id", "chunk_index"))
     top = V.top_k(keyed, "_window", references, "threat_id", "vector", k)
@@ -45,6 +46,6 @@ def nearest(windows: DataFrame, references: DataFrame, nodes: DataFrame, k: int,
     rows = _rows(best, nodes, found, thresholds).drop("t")
     if labels is None:
         return rows.withColumns({"nearest_category": F.lit(""), "nearest_source": F.lit("")})
-    named = labels.groupBy(F.col("threat_id").alias("nearest_threat_id")).agg(F.max_by(F.struct("category", "source"), "threat_id").alias("l"))
+    named = last_of(labels, "threat_id", "category", "source").select(F.col("threat_id").alias("nearest_threat_id"), F.struct("category", "source").alias("l"))
     filled = {"nearest_category": F.coalesce("l.category", F.lit("")), "nearest_source": F.coalesce("l.source", F.lit(""))}
     return rows.join(named, "nearest_threat_id", "left").withColumns(filled).drop("l")

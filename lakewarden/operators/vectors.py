@@ -36,13 +36,20 @@ def centroids(df: DataFrame, key: str | Sequence[str], vector: str) -> DataFrame
     return means.select(*keys, unit(vector_to_array("m")).alias("centroid"), "n")
 
 
-def contrast_prototypes(df: DataFrame, label: str, vector: str, positive: Sequence, negative: Sequence) -> DataFrame:
-    """One row (malicious, benign) of two class centroids."""
+def contrast_prototypes(df: DataFrame, label: str, vector: str, positive: Sequence, negative: Sequence, sample: DataFrame | None = None) -> DataFrame:
+    """One row (malicious, benign) of two class centroids.
+
+    Where no row is benign, the vectors of ``sample``, if given, stand for them:
+    rows of the corpus drawn by the caller.
+    """
     side = F.when(F.col(label).isin(list(positive)), "malicious").when(F.col(label).isin(list(negative)), "benign")
-    classes = centroids(df.withColumn("side", side).filter("side is not null"), "side", vector)
+    rows = df.withColumn("side", side).filter("side is not null").select("side", vector)
+    if sample is not None:
+        rows = rows.unionByName(sample.select(F.lit("sample").alias("side"), vector))
+    classes = centroids(rows, "side", vector)
     return classes.agg(
         F.max(F.when(F.col("side") == "malicious", F.col("centroid"))).alias("malicious"),
-        F.max(F.when(F.col("side") == "benign", F.col("centroid"))).alias("benign"),
+        F.coalesce(*[F.max(F.when(F.col("side") == s, F.col("centroid"))) for s in ("benign", "sample")]).alias("benign"),
     )
 
 

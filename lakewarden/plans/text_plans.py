@@ -129,8 +129,8 @@ def language_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _distribution_sql(scope: str, source: str, lang: str) -> str:
-    return f"""SELECT '{scope}' AS scope, CASE WHEN g = 1 THEN 'all' ELSE node_type END AS node_type, language, n_units, round(n_units * 100.0::DOUBLE / sum(n_units) OVER (PARTITION BY g, node_type), 4) AS pct_units, n_chars,
-    round(n_chars * 100.0::DOUBLE / nullif(sum(n_chars) OVER (PARTITION BY g, node_type), 0), 4) AS pct_chars
+    return f"""SELECT '{scope}' AS scope, CASE WHEN g = 1 THEN 'all' ELSE node_type END AS node_type, language, n_units, round_even(n_units * 100.0::DOUBLE / sum(n_units) OVER (PARTITION BY g, node_type), 4) AS pct_units, n_chars,
+    round_even(n_chars * 100.0::DOUBLE / nullif(sum(n_chars) OVER (PARTITION BY g, node_type), 0), 4) AS pct_chars
     FROM (SELECT node_type, {lang} AS language, count(*) AS n_units, sum(n_chars)::BIGINT AS n_chars, grouping(node_type) AS g FROM {source} GROUP BY GROUPING SETS (({lang}), ({lang}, node_type)))"""
 
 

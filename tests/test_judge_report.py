@@ -88,7 +88,7 @@ def test_models(spark):
     assert all((r.p > 0.5) == (r.y == 1) for r in out)
     assert {r.cluster for r in models.cosine_kmeans(df.filter("id % 6 in (1, 2)"), "id", "v", 2).collect()} == {0, 1}
     assert models.cosine_kmeans(df.limit(1), "id", "v", 5).count() == 1
-    enc = models.encode(df.select(F.col("id").cast("string").alias("t")), "t", lambda: lambda texts: [[float(len(t))] for t in texts])
+    enc = models.encode(df.select(F.col("id").cast("string").alias("t")), "t", lambda: lambda texts: [[float(len(t))] for t in texts], normalize=False)
     assert {tuple(r.vector) for r in enc.collect()} == {(1.0,), (2.0,)}
     assert models.check_contract({"a": 1, "batch_size": 1}, {"a": 1, "batch_size": 16}) == ["batch_size"]
     with pytest.raises(ValueError):
@@ -150,3 +150,56 @@ def test_loop_judges_every_row_once(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(r.node_id for r in out.collect()) == ["a", "b", "c"] and sorted(seen) == ["a", "b", "b", "c"]
     assert judge_loop.rate_limit(0) == 2 and judge_loop.rate_limit(5) is None
+
+
+def test_refusals(spark, tmp_path):
+    """What must not pass in silence raises when rows are computed."""
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 0), (3, [0.9, 0.1], 1), (4, [0.1, 0.9], 0)], "id int, v array<double>, y int")
+    head = models.train_head(vectors, "v", "y")
+    models.save_head(head, spark, f"{tmp_path}/head")
+    want = {r.id: r.p for r in models.apply_head(head, vectors, "v").collect()}
+    assert {r.id: r.p for r in models.apply_saved_head(vectors, "v", f"{tmp_path}/head").collect()} == want
+    wide = vectors.withColumn("v", F.concat("v", F.array(F.lit(1.0))))
+    for apply in (lambda: models.apply_head(head, wide, "v"), lambda: models.apply_saved_head(wide, "v", f"{tmp_path}/head")):
+        with pytest.raises(ValueError, match="width"):
+            apply()
+    text = spark.createDataFrame([("3.7",)], "s string")
+    with pytest.raises(Exception, match="whole number"):
+        text.select(judge.severity_text(F.col("s"))).collect()
+    for bad in ("1", None):
+        with pytest.raises(Exception, match="outside"):
+            spark.createDataFrame([(bad,)], "s string").select(judge.binary_label(F.col("s"), strict=True)).collect()
+    rows = spark.createDataFrame([("1", "a", "post", "x")], "example_num string, node_id string, node_type string, verdict string")
+    with pytest.raises(Exception, match="repeated retry id"):
+        judge.merge_retry(rows, rows.union(rows)).collect()
+    assert judge.batch_ready("completed")
+    with pytest.raises(ValueError, match="in_progress"):
+        judge.batch_ready("in_progress")
+
+
+def test_last_duplicate_and_zero_vectors(spark):
+    scored = spark.createDataFrame([("n", 0.9, "t")], "node_id string, max_similarity double, nearest_threat_id string")
+    twice = spark.createDataFrame([("t", "first"), ("t", "last")], "threat_id string, attack_text string").coalesce(1)
+    assert [r.nearest_attack_text for r in report.top_matches(scored, 5, None, twice).collect()] == ["last"]
+    vectors = spark.createDataFrame([(k, [float(k % 2), float(1 - k % 2)]) for k in range(6)] + [(9, [0.0, 0.0]), (10, None)], "id int, v array<double>")
+    placed = {r.id: r for r in models.cosine_kmeans(vectors, "id", "v", 2).collect()}
+    assert set(placed) == {*range(6), 9} and (placed[9].cluster, placed[9].similarity) == (0, 0.0) and placed[0].cluster != placed[1].cluster
+    assert {r.similarity for r in models.cosine_kmeans(vectors.filter("id in (0, 2)"), "id", "v", 1).collect()} == {1.0}
+    protos = V.contrast_prototypes(vectors.withColumn("label", F.lit(3)), "label", "v", [3], [0], vectors.filter("id = 1")).first()
+    assert protos.benign == [1.0, 0.0]
+    said = models.detect_language(spark.createDataFrame([("hello world",), ("x",), (None,)], "t string"), "t", lambda: lambda texts: ["EN" if " " in t else None for t in texts], 3)
+    assert [r.language for r in said.collect()] == ["en", "und", "und"]
+
+
+def test_judge_loop_tries_again(spark, tmp_path):
+    spark.createDataFrame([("a",), ("b",)], "node_id string").write.parquet(f"{tmp_path}/asked")
+    tried, slept = [], []
+
+    def moody(rows):
+        tried.append(1)
+        if len(tried) < 3:
+            raise OSError("busy")
+        return rows
+
+    judge_loop.run(spark, f"{tmp_path}/asked", "node_id string", f"{tmp_path}/out", "node_id string", f"{tmp_path}/cp", moody, per_minute=30, sleep=slept.append).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2 and slept[:2] == [2, 4] and 0 < slept[2] <= 4
