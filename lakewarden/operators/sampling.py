@@ -23,17 +23,32 @@ def stratified(df: DataFrame, key: str, stratum: str, n: int, seed: int = 42) ->
     return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
+def placed(df: DataFrame, key: str, stratum: str, seed: int = 42) -> DataFrame:
+    """Adds ``_place`` (from 1, by hash) and ``_size`` of each row's stratum.
+
+    One stratum may hold nearly all rows, so it is cut into 256 slices by the
+    first digits of the hash: slices are counted by an ordinary aggregate, and a
+    window ranks the rows of one slice only.
+    """
+    own = F.coalesce(F.concat(F.lit("0"), F.col(stratum).cast("string")), F.lit("1"))
+    rows = df.withColumns({"_k": own, "_h": draw(seed, key)}).withColumn("_s", F.substring("_h", 1, 2))
+    along = Window.partitionBy("_k").orderBy("_s")
+    counts = rows.groupBy("_k", "_s").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_k", "_s", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_k")).alias("_size"))
+    within = F.row_number().over(Window.partitionBy("_k", "_s").orderBy("_h", key))
+    return rows.join(counts, ["_k", "_s"]).withColumn("_place", F.col("_before") + within).select(*df.columns, "_place", "_size")
+
+
 def split(df: DataFrame, key: str, stratum: str, test_fraction: float, seed: int = 42) -> DataFrame:
     """Adds ``split``: in each stratum the first half-even-rounded fraction by hash is test, the rest train."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, key), key))
-    size = F.bround(F.count("*").over(Window.partitionBy(stratum)) * F.lit(float(test_fraction)), 0)
-    return df.withColumn("split", F.when(place <= size, "test").otherwise("train"))
+    size = F.bround(F.col("_size") * F.lit(float(test_fraction)), 0)
+    return placed(df, key, stratum, seed).select(*df.columns, F.when(F.col("_place") <= size, "test").otherwise("train").alias("split"))
 
 
 def folds(df: DataFrame, key: str, stratum: str, k: int, seed: int = 42) -> DataFrame:
     """Adds ``fold``: in each stratum, place by hash modulo k."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, key), key))
-    return df.withColumn("fold", ((place - 1) % k).cast("long"))
+    return placed(df, key, stratum, seed).select(*df.columns, ((F.col("_place") - 1) % k).cast("long").alias("fold"))
 
 
 def fold_coverage(assigned: DataFrame, k: int, required: str, stratum: str = "severity") -> DataFrame:

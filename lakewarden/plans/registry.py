@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.plans import table_plans, text_plans, vector_plans
+from lakewarden.plans import io_plans, table_plans, text_plans, vector_plans
 
-MODULES = (text_plans, table_plans, vector_plans)
+MODULES = (text_plans, table_plans, vector_plans, io_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

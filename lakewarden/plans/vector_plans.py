@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakewarden.functions.vectors import as_double, dot, unit
 from lakewarden.operators import metrics, models, nodes, report, sampling, scan, vectors as V
 from lakewarden.plans.text_plans import RAW_SQL, WS, raw_conversations
+from lakewarden.sources.staging import stage
 from lakewarden.sources.tables import table
 
 MALICIOUS, BENIGN = (3, 4, 5), (0,)
@@ -80,23 +81,28 @@ def _labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fold_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Every vector scored against the prototypes of the folds it is not in."""
-    rows = _labelled(spark, folder)
+    """Every vector scored against the prototypes of the folds it is not in. Vectors are folded once, for prototypes and scores."""
+    rows = stage(_labelled(spark, folder).select("vec_id", "label", "embedding", "y", "fold"), "folded")
     protos = V.fold_prototypes(rows, "fold", "label", "embedding", MALICIOUS, BENIGN, FOLDS)
     scored = rows.join(F.broadcast(protos), "fold").withColumn("v", unit(as_double(F.col("embedding"))))
     return scored.select("vec_id", "label", "fold", "y", F.round(dot(F.col("v"), F.col("malicious")) - dot(F.col("v"), F.col("benign")), 4).alias("score"))
 
 
+def _staged_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores that several parts of a metric read: computed once."""
+    return stage(_fold_scores(spark, folder).select("fold", "y", "score"), "fold-scores")
+
+
 def fold_contrast(spark: SparkSession, folder: str) -> DataFrame:
     return _fold_scores(spark, folder)
 
 
 def threshold_at_recall(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.threshold_at_recall(_fold_scores(spark, folder), "score", "y", RECALL, ["fold"])
+    return metrics.threshold_at_recall(_staged_scores(spark, folder), "score", "y", RECALL, ["fold"])
 
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:
-    scored = _fold_scores(spark, folder)
+    scored = _staged_scores(spark, folder)
     return scored.join(F.broadcast(metrics.threshold_at_recall(scored, "score", "y", RECALL, ["fold"])), "fold").withColumn("flag", F.col("score") >= F.col("threshold"))
 
 
@@ -110,7 +116,7 @@ def tie_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ranking(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return metrics.ranking(_fold_scores(spark, folder), "score", "y", ["fold"]).select("fold", F.round(name, 6).alias(name))
+    return metrics.ranking(_staged_scores(spark, folder), "score", "y", ["fold"]).select("fold", F.round(name, 6).alias(name))
 
 
 def average_precision(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,8 +235,73 @@ def hashed_encoder(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("vector").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
+def _parted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled vectors: the training rows with folds, and the fixed test set."""
+    rows = embeddings(spark, folder).filter(F.col("label").isin(*MALICIOUS, *BENIGN)).withColumn("y", (F.col("label") != 0).cast("long"))
+    parted = sampling.split(rows, "vec_id", "label", 0.3)
+    return sampling.folds(parted.filter("split = 'train'").drop("split"), "vec_id", "label", FOLDS), parted.filter("split = 'test'").drop("split")
+
+
+def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
+    """Thresholds from each fold's validation rows, metrics on the test set, by the prototypes of the other folds."""
+    train, test = (stage(part.select("vec_id", "label", "embedding", "y", *[c for c in part.columns if c == "fold"]), "parted") for part in _parted(spark, folder))
+    protos = F.broadcast(V.fold_prototypes(train, "fold", "label", "embedding", MALICIOUS, BENIGN, FOLDS))
+    unit_ = unit(as_double(F.col("embedding")))
+    score = lambda rows: stage(rows.withColumn("v", unit_).select("fold", "y", F.round(dot(F.col("v"), F.col("malicious")) - dot(F.col("v"), F.col("benign")), 4).alias("score")), "held-scores")
+    # The test set meets one prototype pair a fold.
+    return stage(metrics.held_out(score(train.join(protos, "fold")), score(test.crossJoin(protos)), "score", "y", RECALL), "held-out")
+
+
+def fold_test_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("precision", "recall", "accuracy", "flag_rate", "f1", "average_precision", "roc_auc")
+    return metrics.require_recall(_evaluated(spark, folder)).select("fold", "threshold", "n", "n_pos", "tp", "fp", *[F.round(c, 6).alias(c) for c in names])
+
+
+def fold_threshold_check(spark: SparkSession, folder: str) -> DataFrame:
+    kept = ("fold", "threshold", "validation_positive_count", "recall_ok", "validation_ties", "validation_positive_ties", "test_ties", "test_positive_ties")
+    return _evaluated(spark, folder).select(*kept, F.round("validation_recall", 6).alias("validation_recall"))
+
+
+def checkpoint_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Five checkpoints of a head, each scoring all labelled vectors, best f1 first."""
+    rows = embeddings(spark, folder).filter(F.col("label").isin(*MALICIOUS, *BENIGN)).withColumn("y", (F.col("label") != 0).cast("long"))
+    scored = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(5)))).select("epoch", "y", F.round(models.sigmoid(F.get("embedding", F.lit(0)).cast("double") * F.col("epoch") + F.col("epoch") / 10 - 0.25), 4).alias("p"))
+    found = metrics.checkpoint_table(scored, "p", "y")
+    return found.select(F.col("epoch").cast("long").alias("epoch"), "tp", "fp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "average_precision")])
+
+
+def prototype_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Without a benign row, a sample of the corpus stands for them."""
+    vecs = embeddings(spark, folder)
+    sample = sampling.simple(vecs, "vec_id", 50).select("embedding")
+    found = V.contrast_prototypes(vecs.filter("label != 0"), "label", "embedding", MALICIOUS, BENIGN, sample)
+    return found.select(F.posexplode("benign").alias("pos", "x")).select(F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+def kmeans_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The clustering holds all vectors in k clusters, and is at least as tight as the classes that made the vectors."""
+    vecs = embeddings(spark, folder)
+    placed = stage(models.cosine_kmeans(vecs, "vec_id", "embedding", 8), "clusters")
+    classes = vecs.join(V.centroids(vecs, "label", "embedding"), "label").agg(F.avg(dot(unit(as_double(F.col("embedding"))), F.col("centroid"))).alias("by_label"))
+    whole = V.centroids(vecs.withColumn("one", F.lit(1)), "one", "embedding").select("centroid")
+    alone = vecs.crossJoin(F.broadcast(whole)).agg(F.avg(dot(unit(as_double(F.col("embedding"))), F.col("centroid"))).alias("alone"))
+    counted = placed.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("n_vectors"), F.count_distinct("cluster").alias("n_clusters"), F.avg("similarity").alias("mean"))
+    joined = counted.crossJoin(F.broadcast(classes)).crossJoin(F.broadcast(alone))
+    return joined.select("n", "n_vectors", (F.col("n_clusters") <= 8).alias("k_ok"), (F.col("mean") > F.col("alone")).alias("tighter_than_one"), F.round("alone", 6).alias("alone"), F.round("by_label", 6).alias("by_label"))
+
+
+def head_gradient(spark: SparkSession, folder: str) -> DataFrame:
+    """A head trained to the end stands where its class-weighted loss is flat in bias: weighted residuals sum to nothing."""
+    rows = _labelled(spark, folder)
+    head = models.train_head(rows, "embedding", "y", iterations=200)
+    scored = models.apply_head(head, rows, "embedding")
+    weights = metrics.class_weights(rows, "y").select(F.col("label").alias("y"), "weight")
+    flat = scored.join(F.broadcast(weights), "y").agg(F.count("*").alias("n"), F.sum(F.col("weight") * (F.col("y") - F.col("p"))).alias("slope"), F.avg(F.when(F.col("y") == 1, F.col("p"))).alias("up"), F.avg(F.when(F.col("y") == 0, F.col("p"))).alias("down"))
+    return flat.select("n", (F.abs("slope") < F.col("n") * 1e-4).alias("flat"), (F.col("up") > F.col("down")).alias("separates"))
+
+
 QUERIES = {f.__name__: f for f in (
-    contrast_flag_summary, centroids, contrast_scores, scan_contrast, scan_example, contrast_max_chunk, doc_vector_mean_pool, vector_topk, cluster_profile, threshold_flags, fold_contrast, threshold_at_recall, confusion_metrics, tie_counts, average_precision,
+    fold_test_metrics, fold_threshold_check, checkpoint_evaluation, prototype_fallback, kmeans_quality, head_gradient, contrast_flag_summary, centroids, contrast_scores, scan_contrast, scan_example, contrast_max_chunk, doc_vector_mean_pool, vector_topk, cluster_profile, threshold_flags, fold_contrast, threshold_at_recall, confusion_metrics, tie_counts, average_precision,
     roc_auc, pr_auc_trapezoid, fold_summary, throughput_summary, class_weights, sigmoid_head_score, threshold_sweep, strata_sample, strata_unassigned, top_matches, flagged_by_conversation, conversation_stats, kmeans_cosine, head_logreg, hashed_encoder,
 )}
 
@@ -261,6 +332,18 @@ g AS (SELECT fold, score, sum(y)::BIGINT AS p, count(*) AS n FROM scored GROUP B
 gg AS (SELECT *, sum(p) OVER (PARTITION BY fold ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY fold ORDER BY score DESC) AS cn, sum(p) OVER (PARTITION BY fold) AS pp, sum(n) OVER (PARTITION BY fold) AS nn FROM g),
 gh AS (SELECT *, tp / cn AS pr, tp / pp AS re, coalesce(lag(tp / cn) OVER (PARTITION BY fold ORDER BY score DESC), 1) AS pr0, coalesce(lag(tp / pp) OVER (PARTITION BY fold ORDER BY score DESC), 0) AS re0 FROM gg)
 """
+_FOLD_ROWS = "y AS (SELECT vec_id, label, (label != 0)::BIGINT AS y, ((row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || vec_id), vec_id) - 1) % 5)::BIGINT AS fold FROM embeddings WHERE label IN (0, 3, 4, 5))"
+assert _FOLD_ROWS in FOLD_SQL
+#: The same over training rows only, with the test set scored for every fold.
+HELD_SQL = FOLD_SQL.replace(_FOLD_ROWS, """z AS (SELECT vec_id, label, (label != 0)::BIGINT AS y, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || vec_id), vec_id) <= round_even(count(*) OVER (PARTITION BY label) * 0.3::DOUBLE, 0) AS test FROM embeddings WHERE label IN (0, 3, 4, 5)),
+y AS (SELECT vec_id, label, y, ((row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || vec_id), vec_id) - 1) % 5)::BIGINT AS fold FROM z WHERE NOT test)""") + """,
+ts AS (SELECT a.fold, z.y, round(list_inner_product(u.u, a.c) - list_inner_product(u.u, b.c), 4) AS score, threshold FROM z JOIN u USING (vec_id) JOIN cu a ON a.side = 'malicious' JOIN cu b ON b.fold = a.fold AND b.side = 'benign' JOIN t ON t.fold = a.fold WHERE test),
+tk AS (SELECT fold, any_value(threshold) AS threshold, count(*) AS n, sum(y)::BIGINT AS n_pos, count(*) FILTER (WHERE y = 1 AND score >= threshold) AS tp, count(*) FILTER (WHERE y = 0 AND score >= threshold) AS fp, count(*) FILTER (WHERE score = threshold) AS test_ties, count(*) FILTER (WHERE score = threshold AND y = 1) AS test_positive_ties FROM ts GROUP BY fold),
+tr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, tp / n_pos AS recall, (tp + n - n_pos - fp) / n AS accuracy, (tp + fp) / n AS flag_rate FROM tk),
+ta AS (SELECT a.fold, sum(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END)::DOUBLE / count(*) AS roc_auc FROM ts a JOIN ts b ON a.fold = b.fold AND a.y = 1 AND b.y = 0 GROUP BY a.fold),
+tg AS (SELECT fold, score, sum(y)::BIGINT AS p, count(*) AS n FROM ts GROUP BY ALL),
+tp_ AS (SELECT fold, sum(p * tp / cn) / sum(p) AS average_precision FROM (SELECT *, sum(p) OVER (PARTITION BY fold ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY fold ORDER BY score DESC) AS cn FROM tg) GROUP BY fold)
+"""
 _W = "[" + ", ".join(str(((k % 7) - 3) / 4) for k in range(64)) + "]::DOUBLE[]"
 _STRATUM = "CASE " + " ".join(f"WHEN max_similarity >= {lo} AND max_similarity < {hi} THEN '{name}'" for name, lo, hi in report.STRATA) + " END"
 _CONV = RESULTS_SQL + ", z AS (SELECT *, CASE WHEN node_type = 'post' THEN 'conv' END AS submolt_name FROM r WHERE max_similarity >= 0.6)"
@@ -269,6 +352,17 @@ _SCAN = """SELECT 'post:' || owner AS node_id, 'post' AS node_type, CASE WHEN ow
     left(coalesce(text, ''), 200) AS text_preview, '{"0.0":' || (score >= 0.0) || ',"0.1":' || (score >= 0.1) || '}' AS threshold_flags"""
 
 ORACLES = {
+    "fold_test_metrics": HELD_SQL + "SELECT fold, threshold, n, n_pos, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(accuracy, 6) AS accuracy, round(flag_rate, 6) AS flag_rate, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1, round(average_precision, 6) AS average_precision, round(roc_auc, 6) AS roc_auc FROM tr JOIN ta USING (fold) JOIN tp_ USING (fold)",
+    "fold_threshold_check": HELD_SQL + "SELECT f.fold, any_value(f.threshold) AS threshold, sum(f.y)::BIGINT AS validation_positive_count, abs(any_value(kk.recall) - 0.8::DOUBLE) <= 1 / sum(f.y) + 1e-12 AS recall_ok, count(*) FILTER (WHERE score = f.threshold) AS validation_ties, count(*) FILTER (WHERE score = f.threshold AND f.y = 1) AS validation_positive_ties, any_value(test_ties) AS test_ties, any_value(test_positive_ties) AS test_positive_ties, round(any_value(kk.recall), 6) AS validation_recall FROM f JOIN kk USING (fold) JOIN tk USING (fold) GROUP BY f.fold",
+    "checkpoint_evaluation": """WITH s AS (SELECT epoch, (label != 0)::BIGINT AS y, round(1 / (1 + exp(-(embedding[1]::DOUBLE * epoch + epoch / 10 - 0.25))), 4) AS p FROM embeddings, (SELECT unnest(range(1, 6)) AS epoch) WHERE label IN (0, 3, 4, 5)),
+        k AS (SELECT epoch, count(*) FILTER (WHERE y = 1 AND p > 1 - p) AS tp, count(*) FILTER (WHERE y = 0 AND p > 1 - p) AS fp, sum(y) AS n_pos FROM s GROUP BY epoch),
+        g AS (SELECT epoch, p, sum(y) AS pos, count(*) AS n FROM s GROUP BY ALL), a AS (SELECT epoch, sum(pos * tp / cn) / sum(pos) AS ap FROM (SELECT *, sum(pos) OVER (PARTITION BY epoch ORDER BY p DESC) AS tp, sum(n) OVER (PARTITION BY epoch ORDER BY p DESC) AS cn FROM g) GROUP BY epoch),
+        r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, tp / n_pos AS recall FROM k)
+        SELECT epoch, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1, round(ap, 6) AS average_precision FROM r JOIN a USING (epoch)""",
+    "prototype_fallback": UNIT_SQL + ", w AS (SELECT vec_id FROM embeddings ORDER BY sha256('42:' || vec_id), vec_id LIMIT 50), m AS (SELECT pos, avg(x) AS x FROM x JOIN w USING (vec_id) GROUP BY pos) SELECT pos::BIGINT AS pos, round(x / (SELECT sqrt(sum(x * x)) FROM m), 6) AS x FROM m",
+    "kmeans_quality": UNIT_SQL + """, a AS (SELECT pos, avg(x) AS x FROM x GROUP BY pos), al AS (SELECT list(x ORDER BY pos) AS c FROM a), m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY ALL), ml AS (SELECT label, list(x ORDER BY pos) AS c FROM m GROUP BY label)
+        SELECT count(*) AS n, count(DISTINCT vec_id) AS n_vectors, true AS k_ok, true AS tighter_than_one, round(avg(list_inner_product(u, al.c) / sqrt(list_inner_product(al.c, al.c))), 6) AS alone, round(avg(list_inner_product(u, ml.c) / sqrt(list_inner_product(ml.c, ml.c))), 6) AS by_label FROM u JOIN ml USING (label), al""",
+    "head_gradient": "SELECT count(*) AS n, true AS flat, true AS separates FROM embeddings WHERE label IN (0, 3, 4, 5)",
     "scan_contrast": SCORED_SQL + ", w AS (SELECT *, vec_id // 5 AS owner, vec_id % 5 AS i, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY score DESC, vec_id) AS r, count(*) OVER (PARTITION BY vec_id // 5) AS num_chunks FROM scored) "
     + _SCAN.replace("NEAREST", "CASE WHEN score >= 0 THEN 'malicious' ELSE 'benign' END AS nearest_threat_id, CASE WHEN score >= 0 THEN 'malicious' ELSE 'benign' END AS nearest_category") + " FROM w JOIN documents ON doc_id = owner WHERE r = 1",
     "scan_example": UNIT_SQL + """, k AS (SELECT a.vec_id, 'seed:' || b.vec_id AS threat_id, b.label, list_inner_product(a.u, b.u) AS s FROM u a, u b WHERE b.label IN (3, 4, 5) AND a.label NOT IN (3, 4, 5)),

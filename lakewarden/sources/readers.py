@@ -43,6 +43,17 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return ids
 
 
+def id_table(spark: SparkSession, path: str, hash_col: str = "text_sha256") -> DataFrame:
+    """Ids of a CSV with a column node_id, and its hash column if it has one; blank ids go, a repeated id is an error (starts a job)."""
+    from lakewarden.operators.contracts import require_columns, require_unique
+
+    rows = csv_text(spark, path)
+    named = require_columns(rows, ["node_id", *([hash_col] if hash_col in rows.columns else [])])
+    ids = named.withColumn("node_id", strip(F.col("node_id"))).filter("node_id != ''")
+    require_unique(ids, "node_id")
+    return ids
+
+
 def if_exists(spark: SparkSession, path: str, schema: str, format: str = "parquet") -> DataFrame:
     """The table, or an empty one of the schema where nothing is stored yet."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -58,6 +69,11 @@ def checkpoints(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.filter(epoch != "").select(epoch.cast("long").alias("epoch"), F.col(path)).orderBy("epoch")
 
 
+def last_checkpoint(found: DataFrame) -> DataFrame:
+    """The checkpoint of the last epoch, decided before any is evaluated."""
+    return found.agg(F.max_by(F.struct("epoch", "path"), "epoch").alias("c")).filter("c is not null").select("c.*")
+
+
 def prompt(text: str | None, what: str = "prompt") -> str:
     """A prompt's text, stripped; missing or empty is an error."""
     if not text or not text.strip():

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakewarden.operators.contracts import content_hash
 
 
+#: Cells as they are: quotes doubled, blanks at either end kept, missing ones empty.
+CSV = {"header": True, "escape": '"', "quote": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def parquet(df: DataFrame, path: str, overwrite: bool = False, partition_by: Sequence[str] = ()) -> None:
     """Refuses an existing target unless ``overwrite``."""
     df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*partition_by).parquet(path)
@@ -21,7 +25,7 @@ def csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, overwrit
     out = df.select(*columns) if columns else df
     out = out.select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in out.columns])
     out = out.coalesce(1) if single else out
-    out.write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True, escape='"', quote='"', emptyValue="")
+    out.write.mode("overwrite" if overwrite else "errorifexists").options(**CSV).csv(path)
 
 
 def json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -31,17 +35,36 @@ def json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def by_severity(df: DataFrame, path: str, block: str, overwrite: bool = True) -> None:
-    """Folders severity=<n> with rendered blocks; what a folder held before goes."""
-    df.select("severity", F.col(block).alias("value")).write.mode("overwrite" if overwrite else "errorifexists").partitionBy("severity").text(path)
+    """Folders text/severity=<n> with rendered blocks and csv/severity=<n> with the rows; what a folder held before goes."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    df.select("severity", F.col(block).alias("value")).write.mode(mode).partitionBy("severity").text(f"{path}/text")
+    rows = df.select("severity", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns if c not in ("severity", block)])
+    rows.write.mode(mode).partitionBy("severity").options(**CSV).csv(f"{path}/csv")
 
 
 def id_list(df: DataFrame, path: str, key: str = "node_id", overwrite: bool = False) -> None:
     df.select(F.col(key).cast("string").alias("value")).orderBy("value").write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Durable progress: every call adds a batch."""
-    df.write.mode("append").parquet(path)
+def append_rows(df: DataFrame, path: str, format: str = "parquet") -> None:
+    """Durable progress: every call adds a batch, as Parquet, CSV (a header in every file) or JSON lines."""
+    df.write.mode("append").format(format).options(**(CSV if format == "csv" else {})).save(path)
+
+
+def environment(spark: SparkSession, packages: Sequence[str] = ("pyspark", "pyarrow", "pandas", "numpy")) -> dict:
+    """Versions of Spark, Java, Python and packages, and the settings that results depend on; what cannot be told is null."""
+    import platform
+    from importlib import metadata
+
+    def version(name: str) -> str | None:
+        try:
+            return metadata.version(name)
+        except metadata.PackageNotFoundError:
+            return None
+
+    settings = {k: spark.conf.get(k, None) for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    java = spark.sparkContext._jvm.java.lang.System.getProperty("java.version")
+    return {"spark": spark.version, "java": java, "python": platform.python_version(), "packages": {p: version(p) for p in packages}, "settings": settings}
 
 
 def merge_manifest(old: dict, new: dict) -> dict:
@@ -52,10 +75,10 @@ def merge_manifest(old: dict, new: dict) -> dict:
     return merged
 
 
-def manifest(spark: SparkSession, tables: dict[str, DataFrame], config: dict) -> dict:
-    """Configuration, environment and content hashes of the named tables. Starts a job a table."""
+def manifest(spark: SparkSession, tables: dict[str, DataFrame], config: dict, timings: dict[str, float] | None = None) -> dict:
+    """Configuration, environment, timings and content hashes of the named tables (data, folds). Starts a job a table."""
     hashes = {name: {"n_rows": r.n_rows, "hash": str(r.hash_sum)} for name, df in tables.items() if (r := content_hash(df).first())}
-    return {"created_at": datetime.now(timezone.utc).isoformat(), "spark": spark.version, "config": config, "inputs": hashes}
+    return {"created_at": datetime.now(timezone.utc).isoformat(), "environment": environment(spark), "config": config, "inputs": hashes, "timings": timings or {}}
 
 
 def manifest_text(content: dict) -> str:

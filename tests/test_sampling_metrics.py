@@ -99,3 +99,26 @@ def test_summaries(spark):
     assert metrics.throughput(ran.withColumn("n_nodes", F.col("fold"))).first().nodes_per_second_mean is None
     weights = {r.label: r.weight for r in metrics.class_weights(spark.createDataFrame([(0,)] * 3 + [(1,)], "y int"), "y").collect()}
     assert weights == {0: 4 / 6, 1: 2.0}
+
+
+def test_no_window_holds_a_stratum_or_a_fold(spark):
+    """Ranks within strata and folds come from slices: what a window is dealt by is more than the group alone."""
+    import re
+
+    rows = spark.range(1000).selectExpr("id", "'all' as severity", "cast(id % 7 as double) / 3 as score", "id % 2 as y", "cast(id % 3 as string) as fold")
+    for df in (sampling.split(rows, "id", "severity", 0.3), sampling.folds(rows, "id", "severity", 5), metrics.ranking(rows, "score", "y", ["fold"])):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        ranked = [w for w in re.findall(r"Window \[(.*?)\], \[(.*?)\], \[(.*?)\]", text) if "row_number" in w[0] or "_p#" in w[0]]
+        assert ranked and all("_s#" in by for _, by, _ in ranked)
+
+
+def test_slices_do_not_matter(spark, monkeypatch):
+    """Few or many slices, scores far outside [-1, 1], nulls and NaN: the same ranks."""
+    dice = random.Random(5)
+    odd = [None, float("nan"), float("inf"), -1e300, 1e9, 0.0]
+    rows = spark.createDataFrame([(k, dice.choice(odd) if k % 11 == 0 else dice.uniform(-3, 3), k % 2, "a" if k % 3 else None) for k in range(300)], "id long, score double, y long, fold string")
+    found = []
+    for n in (1, 7, 1024):
+        monkeypatch.setattr(metrics, "SLICES", n)
+        found.append([sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect()) for df in (metrics.ranking(rows, "score", "y", ["fold"]), metrics.threshold_at_recall(rows, "score", "y", 0.7, ["fold"]), metrics.ranking(rows, "score", "y"))])
+    assert found[0] == found[1] == found[2]
