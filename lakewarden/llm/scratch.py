@@ -1,33 +1,32 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables of the training-data operators, in the folder that all executors share."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakewarden.sources.staging import delete, new_path as unused_path, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and the session is local (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lakewarden-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["discard", "discarding", "new_path", "shared_folder", "stage", "stage_kept"]
+
+#: Paths made inside each open :func:`discarding`, innermost last.
+_open: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/lakewarden/{label}-{uuid.uuid4().hex}"
+    path = unused_path(spark, label)
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Starts a job. The files live as long as the folder; :func:`discard` drops them earlier.
+    Starts a job. The files live as long as the folder; :func:`discard` or an
+    open :func:`discarding` drops them earlier.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
@@ -35,10 +34,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_kept(df: DataFrame, label: str) -> DataFrame:
+    """As :func:`stage`, for a result that outlives an open :func:`discarding`."""
+    path = unused_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame made by :func:`stage`."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Whatever is staged inside is deleted at the end: for the inner tables of a result that is written itself by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from lakewarden.llm.blocks import text_bytes
+from lakewarden.llm.blocks import text_bytes, unused
 from lakewarden.llm.scratch import discard, stage
 from lakewarden.llm.shingles import SEED, shingle_hashes
 from lakewarden.llm.similarity import PIVOTS, alike, band_groups, band_keys, first_pairs, group_links, shingle_sets
@@ -233,14 +233,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with one document left of each component, the one with the smallest id; columns unchanged.
 
-    A row that repeats the surviving id goes too. Rows without an id stay if no
-    row of their component has one.
+    A row that repeats the surviving id goes too: of several the one with the
+    least hash of all columns stays, once. Rows without an id stay if no row of
+    their component has one. Null and wordless texts are one component; an
+    empty table gives an empty result; other columns, of whatever name, are
+    passed on.
     """
     own, key = docs.columns, options.get("id_col", "doc_id")
-    keep = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(keep, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*own)))
-    return left.withColumn("_place", place).filter((F.col("_place") == 1) | F.col(key).isNull()).select(*own)
+    kept, copies, first_row = unused(own, "kept", "copies", "first_row")
+    survives = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = near_duplicates(docs, **options).groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias(copies), survives.alias(first_row)).filter(F.col(first_row)).drop(first_row)
+    left = docs.join(keep, F.col(key).cast("long").eqNullSafe(F.col(kept)))
+    # Ids that do not repeat, and rows without one, are done; of the others only those that repeat meet, by partial minima.
+    single = (F.col(copies) == 1) | F.col(kept).isNull()
+    done, rest = left.filter(single).select(*own), left.filter(~single)
+    first = rest.groupBy(F.col(kept)).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias(first_row)).select(f"{first_row}.*")
+    return done.unionByName(first)
 
 
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:

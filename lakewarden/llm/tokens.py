@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -284,6 +285,16 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+def written_order(docs: DataFrame) -> list[Column] | None:
+    """The order in which the rows of a Parquet scan were written; None for frames that are no scan, which have none."""
+    order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*order)
+    except AnalysisException:
+        return None
+    return order
+
+
 def tokenize(docs: DataFrame, **options) -> DataFrame:
     """Write to a new folder below the shared one and read back."""
     return read_tokens(write_tokens(docs, scratch.new_path(docs.sparkSession, "tokens"), **options))

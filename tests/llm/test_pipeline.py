@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lakewarden.llm import similarity, simhash
+from lakewarden.llm import mixing, similarity, simhash
 from lakewarden.llm.shingles import shingle_hashes
 from tests.llm.test_decontaminate import plain_hits, words
 from tests.llm.test_mixing import plain_targets
@@ -173,7 +173,22 @@ def test_stages(spark):
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == sorted(want)
 
 
-def test_run(spark):
-    out = corpus_pipeline.run(spark, FOLDER)
-    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+def test_run(spark, tmp_path):
+    """Of all tables that a run stages only the token files and their list stay."""
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        out = corpus_pipeline.run(spark, FOLDER)
+        assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    assert {p.name.rpartition("-")[0] for p in (tmp_path / "lakewarden").iterdir()} <= {"tokens", "token-files"}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "decontamination", "mixing", "tokens"]
+
+
+def test_token_files_keep_the_training_order(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("text is not null")
+    corpus_pipeline.mixing_stage(spark, docs, FOLDER).write.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.token_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), FOLDER).orderBy("start").collect()
+    placed = mixing.tape(docs).selectExpr("doc_id", "explode(positions) as position").orderBy("position").collect()
+    assert [r.doc_id for r in out] == [r.doc_id for r in placed] and len({r.doc_id for r in out}) < len(out)
