@@ -35,8 +35,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, written as seekable files and read back."""
-    return tokens.tokenize(docs)
+    """Token ids of what is left, written as seekable files in training order - that in which the stage before wrote its rows - and read back."""
+    return tokens.tokenize(docs, order_by=tokens.written_order(docs))
 
 
 STAGES = [
@@ -52,10 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; every result but the last is staged in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages; every result but the last is staged in the shared folder until the next one is, and what a stage staged itself goes with it."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for place, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if place < len(STAGES) - 1:
-            docs = scratch.stage(docs, name.replace(" ", "-"))
+        if place == len(STAGES) - 1:
+            docs = step(spark, docs, sf_dir)  # the token files are the result, and are written by now
+        else:
+            with scratch.discarding(spark):
+                docs = scratch.stage_kept(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        if held is not None:
+            scratch.discard(held)
+        held = docs
     return docs
