@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lakewarden.llm import mixing, similarity, simhash
 from lakewarden.llm.shingles import shingle_hashes
+from lakewarden.sources import staging
 from tests.llm.test_decontaminate import plain_hits, words
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_quality import plain
@@ -173,15 +174,11 @@ def test_stages(spark):
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == sorted(want)
 
 
-def test_run(spark, tmp_path):
+def test_run(spark, tmp_path, monkeypatch):
     """Of all tables that a run stages only the token files and their list stay."""
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = corpus_pipeline.run(spark, FOLDER)
-        assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(staging, "shared_folder", lambda spark: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, FOLDER)
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
     assert {p.name.rpartition("-")[0] for p in (tmp_path / "lakewarden").iterdir()} <= {"tokens", "token-files"}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "decontamination", "mixing", "tokens"]
 
