@@ -9,14 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions without a shared one.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and the session is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lakewarden-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # The setting cannot be changed in a running session, so the folder is kept here.
+        folder = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lakewarden-")
+        _own[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
