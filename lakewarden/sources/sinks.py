@@ -35,10 +35,16 @@ def json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def by_severity(df: DataFrame, path: str, block: str, overwrite: bool = True) -> None:
-    """Folders text/severity=<n> with rendered blocks and csv/severity=<n> with the rows; what a folder held before goes."""
+    """Folders text/severity=<n> with rendered blocks and csv/severity=<n> with the rows; what a folder held before goes.
+
+    Without columns beside the severity and the block there are no rows to write.
+    """
     mode = "overwrite" if overwrite else "errorifexists"
     df.select("severity", F.col(block).alias("value")).write.mode(mode).partitionBy("severity").text(f"{path}/text")
-    rows = df.select("severity", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns if c not in ("severity", block)])
+    others = [c for c in df.columns if c not in ("severity", block)]
+    if not others:
+        return
+    rows = df.select("severity", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in others])
     rows.write.mode(mode).partitionBy("severity").options(**CSV).csv(f"{path}/csv")
 
 

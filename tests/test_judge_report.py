@@ -124,7 +124,9 @@ def test_files(spark, tmp_path):
     with pytest.raises(contracts.ContractError):
         readers.id_list(spark, f"{tmp_path}/i")
     sinks.by_severity(df.select(F.col("node_id").alias("severity"), "text"), f"{tmp_path}/s", "text")
-    assert {p.name for p in tmp_path.joinpath("s").glob("severity=*")} == {"severity=1", "severity=2"}
+    assert {p.name for p in tmp_path.joinpath("s/text").glob("severity=*")} == {"severity=1", "severity=2"} and not tmp_path.joinpath("s/csv").exists()
+    sinks.by_severity(df.select(F.col("node_id").alias("severity"), "text", "more"), f"{tmp_path}/s", "text")
+    assert {p.name for p in tmp_path.joinpath("s/csv").glob("severity=*")} == {"severity=1", "severity=2"}
     assert readers.if_exists(spark, f"{tmp_path}/none", "a int").count() == 0
     names = spark.createDataFrame([("x/head_epoch10.pt",), ("head_epoch9.pt",), ("other.pt",)], "path string")
     assert [r.epoch for r in readers.checkpoints(names).collect()] == [9, 10]
