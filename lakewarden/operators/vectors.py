@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lakewarden.functions.vectors import as_double, dot, unit
+from lakewarden.sources.staging import delete, discard, new_path, stage
 
 
 def _unit_vector(vector: str) -> Column:
@@ -99,7 +101,7 @@ def mean_pool(windows: DataFrame, key: str, vector: str) -> DataFrame:
     return centroids(windows, key, vector).select(key, F.col("centroid").alias("vector"), F.col("n").alias("num_chunks"))
 
 
-#: References that go to the executors at once.
+#: References that are on the driver and the executors at once.
 BLOCK_ROWS = 4096
 #: Up to so many references are scored by expressions, without Python.
 NATIVE_ROWS = 64
@@ -113,8 +115,11 @@ def top_k(queries: DataFrame, query_key: str, references: DataFrame, reference_k
     References are counted (a job). A few are packed into one broadcast row and
     scored by expressions. More are multiplied as matrices of at most
     ``block_rows`` rows through Arrow, which is some fifty times cheaper an
-    element; with more than one block, each keeps its own k best of every query
-    and the best of those win. Rows without a vector are left out.
+    element. Where they fill more than one block, references are staged by block
+    and queries once; one block at a time is gathered, broadcast, searched,
+    staged and dropped, so the driver and the executors never hold more of a
+    dictionary than that; each block keeps its own k best of every query and the
+    best of those win. Rows without a vector are left out.
     """
     refs = references.filter(F.col(vector).isNotNull()).select(F.col(reference_key).alias("rk"), unit(as_double(F.col(vector))).alias("rv"))
     asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query_key), unit(as_double(F.col(vector))).alias("qv"))
@@ -125,19 +130,36 @@ def top_k(queries: DataFrame, query_key: str, references: DataFrame, reference_k
         best = asked.crossJoin(F.broadcast(packed)).select(query_key, F.slice(F.sort_array(scored), 1, k).alias("best"))
         rows = best.select(query_key, F.posexplode("best").alias("p", "b"))
         return rows.select(query_key, (F.col("p") + 1).cast("long").alias("rank"), F.col("b.rk").alias(reference_key), (-F.col("b.neg")).alias("similarity"))
-    blocks = -(-n // block_rows)
-    parts = [_block_best(asked, query_key, refs if blocks == 1 else refs.filter(F.pmod(F.xxhash64("rk"), F.lit(blocks)) == b), k) for b in range(blocks)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    if blocks > 1:
-        order = Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), "rk")
-        found = found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
-    return found.withColumnRenamed("rk", reference_key)
-
-
-def _block_best(asked: DataFrame, query_key: str, refs: DataFrame, k: int) -> DataFrame:
-    """The k best of one block for every query. The block, bounded by its caller, is gathered and broadcast."""
+    if n <= block_rows:
+        return _block_best(asked, query_key, refs, k)[0].withColumnRenamed("rk", reference_key)
+    return _best_of_blocks(asked, query_key, refs, k, -(-n // block_rows)).withColumnRenamed("rk", reference_key)
+
+
+def _best_of_blocks(asked: DataFrame, query_key: str, refs: DataFrame, k: int, blocks: int) -> DataFrame:
+    """The k best of all references for every query, one block of references after another; only the result stays staged."""
+    spark = asked.sparkSession
+    dealt = new_path(spark, "references")
+    refs = refs.withColumn("block", F.pmod(F.xxhash64("rk", "rv"), F.lit(blocks)).cast("int"))
+    refs.repartition("block").write.partitionBy("block").parquet(dealt)
+    stored = spark.read.schema(refs.schema).parquet(dealt)
+    asked, found = stage(asked, "queries"), []
+    for block in range(blocks):
+        best, shared = _block_best(asked, query_key, stored.filter(F.col("block") == block).drop("block"), k)
+        found.append(stage(best, "block-best"))
+        shared.destroy()
+    every = found[0]
+    for part in found[1:]:
+        every = every.union(part)
+    order = Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), "rk")
+    result = stage(every.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k), "top-k")
+    for table in [asked, *found]:
+        discard(table)
+    delete(spark, dealt)
+    return result
+
+
+def _block_best(asked: DataFrame, query_key: str, refs: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """The k best of one block for every query, and the block, which is bounded by its caller, gathered and broadcast."""
     rows = sorted(refs.collect(), key=lambda r: r.rk)
     shared = asked.sparkSession.sparkContext.broadcast(([r.rk for r in rows], np.array([r.rv for r in rows], np.float64)))
     key_kind = to_arrow_type(refs.schema["rk"].dataType)
@@ -162,7 +184,7 @@ def _block_best(asked: DataFrame, query_key: str, refs: DataFrame, k: int) -> Da
                 columns = [batch.column(0).take(pa.array(query)), pa.array(rank, pa.int64()), names.take(pa.array(ref)), pa.array(scores[query, ref])]
                 yield pa.record_batch(columns, names=list(kinds))
 
-    return asked.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()))
+    return asked.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items())), shared
 
 
 def cluster_profile(members: DataFrame, cluster: str, category: str, text: str, similarity: str, key: str, n_clusters: int) -> DataFrame:

@@ -1,12 +1,13 @@
 """Judging, contracts, vectors, reports, readers and the incremental loop."""
 
+import glob
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.operators import contracts, judge, models, report, vectors as V
-from lakewarden.sources import readers, sinks
+from lakewarden.sources import readers, sinks, staging
 from lakewarden.streaming import judge_loop
 
 
@@ -75,6 +76,14 @@ def test_vectors(spark, monkeypatch):
     ranked = lambda **o: [(r.owner, r["rank"], r.ref, round(r.similarity, 9)) for r in V.top_k(queries, "owner", refs, "ref", "v", 4, **o).collect()]
     native = sorted(ranked())
     assert len(native) == 8 and sorted(ranked(block_rows=8)) == native and sorted(ranked(block_rows=2)) == native
+    # Blocks leave only the result behind, and none holds the dictionary.
+    held, best = [], V._block_best
+    monkeypatch.setattr(V, "_block_best", lambda asked, key, block, k: held.append(block.count()) or best(asked, key, block, k))
+    before = set(glob.glob(f"{staging.shared_folder(spark).removeprefix('file://')}/lakewarden/*"))
+    assert sorted(ranked(block_rows=3)) == native and sum(held) == 9 and max(held) < 9
+    left = set(glob.glob(f"{staging.shared_folder(spark).removeprefix('file://')}/lakewarden/*")) - before
+    assert ["top-k" in f for f in left] == [True]
+    assert V.top_k(queries, "owner", refs.union(refs.limit(0)), "ref", "v", 4, block_rows=1).count() == 8 and V.top_k(queries.limit(0), "owner", refs, "ref", "v", 4, block_rows=2).count() == 0
     monkeypatch.setattr(V, "NATIVE_ROWS", 0)
     assert sorted(ranked()) == native
     profile = {r.c: r for r in V.cluster_profile(spark.createDataFrame([(0, "b", "t1", 0.5, 1), (0, "a", "t2", 0.9, 2)], "c int, cat string, t string, s double, k int"), "c", "cat", "t", "s", "k", 2).collect()}

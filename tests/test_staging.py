@@ -1,5 +1,7 @@
 """The shared folder: a session's setting wins; a local session without one keeps a folder of its own."""
 
+import os
+
 import pytest
 
 from lakewarden.sources import staging
@@ -25,4 +27,6 @@ def test_shared_folder():
 def test_stage(spark):
     df = staging.stage(spark.range(3), "test")
     assert df.count() == 3
-    staging.delete(spark, df.inputFiles()[0].rpartition("/")[0])
+    files = df.inputFiles()
+    staging.discard(df)
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
