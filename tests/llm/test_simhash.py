@@ -127,3 +127,24 @@ def test_similarity_of_other_texts_of_a_fingerprint_and_of_null_ids(spark):
     frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
     out = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, width=5, similarity=0.8).collect()}
     assert alike(b, c) and out == {0: 0, 1: 0, 2: 0}
+
+
+def test_every_pair_of_edited_copies_at_the_similarity_is_caught(spark):
+    dice, rows = random.Random(13), []
+    for at in range(60):
+        words = [f"t{dice.randrange(400)}" for _ in range(dice.randint(20, 120))]
+        rows.append((len(rows), " ".join(words), "en", "s", 0))
+        for edits in range(5):
+            copy = list(words)
+            for _ in range(edits):
+                copy[dice.randrange(len(copy))] = f"z{dice.getrandbits(30)}"
+            rows.append((len(rows), " ".join(copy), "en", "s", 0))
+    sets = [frozenset(simhash.shingle_hashes(r[1].encode(), 5).tolist()) for r in rows]
+    out = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=5, similarity=0.8).collect()}
+    above = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = above[i], above[j]
+                above = [min(a, b) if k in (a, b) else k for k in above]
+    assert len(set(above)) not in (60, len(rows)) and out == dict(enumerate(above))
