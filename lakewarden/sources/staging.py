@@ -43,6 +43,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_dealt(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As :func:`stage`, with the rows dealt anew by ``key`` to other files in another order.
+
+    How many tasks write follows from the size of the table: AQE cuts what is dealt to its advisory size, rows of one key too
+    where they come from several tasks.
+    """
+    return stage(df.hint("rebalance", key), label)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame made by :func:`stage`."""
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
